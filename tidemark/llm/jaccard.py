@@ -5,11 +5,12 @@ pairs below bounds derived from set sizes.
 
 1. Documents with equal sets become one class, represented by its smallest id; only representatives go on.
 2. Two sets with Jaccard >= t and sizes n share one of the first n - ceil(t n) + 1 shingles of each (its prefix) in any
-   order that all sets use. The order puts shingles that many prefixes hold (told by a Bloom filter of fixed size, so
-   that the order is a function of the shingle) behind the others; it decides how fast the join is, not what it finds.
+   order that all sets use. The order puts frequent shingles (told by a table of counts of fixed size, so that the order
+   is a function of the shingle) behind the others; it decides how fast the join is, not what it finds.
 3. Prefix incidences are dealt by shingle. A shingle of up to ALL_PAIRS documents gives its pairs; counts of a pair add
    up over shingles, and a pair whose count, plus all that could follow behind the prefixes, can't reach the overlap
    that the sizes ask for is discarded. A shingle of more documents gives stars: pairs of a leader and each other one.
+   Stars are held against the same bound, by the two prefixes.
 4. Pairs left are verified on the whole sets. Links give components.
 5. Shingles of more than ALL_PAIRS documents that lie in several components take further stars, with other leaders,
    then the product by blocks of documents: each task multiplies two blocks of prefixes (dense where many documents
@@ -26,7 +27,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import list_array, mix, stored, table, text_chunks
@@ -34,9 +36,12 @@ from .words import shingle_sets
 
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
-#: Shingles of more documents give stars instead of all pairs; of more than FREQUENT, they go behind in the order.
-ALL_PAIRS, FREQUENT = 12, 48
-BLOOM_BITS = 1 << 22
+#: Shingles of more documents give stars instead of all pairs.
+ALL_PAIRS = 12
+#: Cells of the table of counts, and how many times the mean, FREQUENT at least, a frequent shingle's cell holds.
+CELLS, SLICES, FREQUENT, TIMES = 1 << 20, 16, 48, 4
+#: Bits of the filter that tells a scan which documents are wanted.
+WANTED_BITS = 1 << 22
 BLOCK = 1024
 STARS = 2
 
@@ -45,11 +50,17 @@ def prefix_size(n):
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, shape, fields: str) -> DataFrame:
-    """mapInArrow over documents: shape(ids, sets) gives the columns of `fields`."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, shape, fields: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """mapInArrow over documents: shape(ids, sets) gives the columns of `fields`.
+
+    wanted: a filter of ids; documents outside it are passed over."""
 
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                k = _place(ids)
+                batch = batch.filter(pa.array((wanted[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for lo, hi, data, offs in text_chunks(batch.column(1)):
                 cols = shape(batch.column(0)[lo:hi], shingle_sets(data, offs))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -61,41 +72,69 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _bits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of a shingle in the Bloom filter."""
-    return (x & np.uint64(BLOOM_BITS - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+def _place(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(WANTED_BITS - 1)).astype(np.int64)
 
 
-def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, two sums that tell the set, and the first shingles by value: half as many again as the prefix holds."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of WANTED_BITS bits that holds all ids: what reaches the driver is as small whatever their number."""
 
-    def shape(ids, sets):
-        n = np.array([len(s) for s in sets], np.int64)
-        wide = [s[: (3 * prefix_size(len(s))) // 2 + 4] for s in sets]
-        return {
-            "id": ids, "n": pa.array(n),
-            "sig1": pa.array([int(_signed(mix(s)).sum()) for s in sets], pa.int64()),
-            "sig2": pa.array([int(_signed(mix(s ^ np.uint64(0x5851F42D4C957F2D))).sum()) for s in sets], pa.int64()),
-            "wide": list_array(_signed(np.concatenate([*wide, np.zeros(0, np.uint64)])), np.array([len(w) for w in wide])),
-        }
-
-    return _sets(docs, id_col, text_col, shape, "id long, n long, sig1 long, sig2 long, wide array<long>")
-
-
-def frequent_filter(wide: DataFrame) -> np.ndarray:
-    """Bloom filter, BLOOM_BITS bits as 64-bit words, of shingles in more than FREQUENT prefixes."""
-    many = wide.select(F.explode("wide").alias("s")).groupBy("s").count().where(F.col("count") > FREQUENT)
-    places = many.select(F.explode(F.array(F.col("s").bitwiseAND(BLOOM_BITS - 1), F.shiftrightunsigned("s", 32).bitwiseAND(BLOOM_BITS - 1))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits"))
-    out = np.zeros(BLOOM_BITS // 64, np.uint64)
-    got = words.toArrow()  # BLOOM_BITS / 64 rows at most
-    if got.num_rows:
-        out[got["w"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    def run(batches):
+        bits = np.zeros(WANTED_BITS // 64, np.uint64)
+        for batch in batches:
+            k = _place(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            np.bitwise_or.at(bits, k >> 6, np.uint64(1) << (k & 63).astype(np.uint64))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(_signed(bits[at]))], names=["w", "bits"])
+
+    got = ids.select("id").mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(WANTED_BITS // 64, np.uint64)
+    out[got["w"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n and two sums that tell the set; and, with a null n, the task's table of counts of shingles in (longer)
+    prefixes by value, in slices."""
+
+    def run(batches):
+        cells = np.zeros(CELLS, np.int64)
+        none = lambda k, kind: pa.nulls(k, kind)
+        names = ["id", "n", "sig1", "sig2", "slice", "salt", "counts"]
+        for batch in batches:
+            for lo, hi, data, offs in text_chunks(batch.column(1)):
+                sets = shingle_sets(data, offs)
+                wide = [s[: (3 * prefix_size(len(s))) // 2 + 4] for s in sets]
+                cells += np.bincount((np.concatenate([*wide, np.zeros(0, np.uint64)]) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                k = hi - lo
+                sigs = [pa.array([int(_signed(mix(s ^ np.uint64(x))).sum()) for s in sets], pa.int64()) for x in (0, 0x5851F42D4C957F2D)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *sigs, none(k, pa.int32()), none(k, pa.int32()), none(k, pa.binary())], names=names)
+        if cells.any():
+            salt = int(mix(cells.view(np.uint64)).sum() & np.uint64(255))
+            parts = [x.astype("<u4").tobytes() for x in cells.reshape(SLICES, -1)]
+            yield pa.RecordBatch.from_arrays([none(SLICES, pa.int64())] * 4 + [pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(parts)], names=names)
+
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, "id long, n long, sig1 long, sig2 long, slice int, salt int, counts binary")
+
+
+def frequent_cells(told: DataFrame) -> np.ndarray:
+    """Cells of frequent shingles, as bits in 64-bit words. Tables of counts are added in two levels, salted first."""
+
+    def add(key, t):
+        total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in t["counts"])
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
+
+    parts = told.where("n IS NULL AND counts IS NOT NULL").select("slice", "salt", "counts")
+    parts = parts.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    cells = np.zeros(CELLS, np.int64)
+    for r in parts.collect():  # SLICES rows
+        cells[r["slice"] * (CELLS // SLICES) :][: CELLS // SLICES] = np.frombuffer(r["counts"], "<u4")
+    many = cells > max(FREQUENT, TIMES * cells.mean())
+    return np.packbits(many, bitorder="little").view(np.uint64)
+
+
 def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """id, n and the prefix, in order: shingles outside the filter by value, then those inside by value."""
+    """id, n and the prefix, in order: shingles in other cells by value, then those in frequent cells by value."""
     some = bool(frequent.any())
 
     def shape(ids, sets):
@@ -103,8 +142,8 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str)
         for s in sets:
             p = prefix_size(len(s)) if len(s) else 0
             if some and len(s):
-                a, b = _bits(s)
-                hot = (frequent[a >> 6] >> (a & 63).astype(np.uint64)) & (frequent[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
+                a = (s & np.uint64(CELLS - 1)).astype(np.int64)
+                hot = (frequent[a >> 6] >> (a & 63).astype(np.uint64)) & np.uint64(1)
                 if hot[:p].any():
                     s = s[np.argsort(hot, kind="stable")]
             out.append(s[:p])
@@ -180,29 +219,31 @@ def short_and_long(incidence: DataFrame) -> DataFrame:
     return incidence.select("s", "id", "n").mapInArrow(run, "kind long, a long, b long, na long, nb long, c long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. sets: id and the whole set, ascending."""
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _matched(pairs: DataFrame, lists: DataFrame, column: str, keep) -> DataFrame:
+    """The pairs (a, b) that keep(list of a, list of b, n of a, n of b) holds for. lists: id, n and `column`."""
+    side = lambda x: lists.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"s{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches):
         for batch in batches:
-            sa, sb = batch.column(2), batch.column(3)
-            ok = np.zeros(batch.num_rows, bool)
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            sa, sb = batch.column(4), batch.column(5)
+            c = np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
-                x, y = sa[i].values.to_numpy(), sb[i].values.to_numpy()
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok[i] = DEN * both >= NUM * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+                x = np.sort(np.concatenate([sa[i].values.to_numpy(), sb[i].values.to_numpy()]))
+                c[i] = (x[1:] == x[:-1]).sum()
+            ok = pa.array(keep(c, na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and set of the documents in ids (id)."""
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    shape = lambda i, sets: {"id": i, "s": list_array(_signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), np.array([len(x) for x in sets]))}
-    return _sets(some, "id", "text", shape, "id long, s array<long>")
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that link, by their whole sets, which are taken from the texts again: of these documents alone."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    shape = lambda i, sets: {"id": i.cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "s": list_array(_signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), np.array([len(x) for x in sets]))}
+    sets = stored(_sets(docs, id_col, text_col, shape, "id long, n long, s array<long>", id_filter(ids)).dropDuplicates(["id"]))
+    return _matched(pairs, sets, "s", lambda c, na, nb: DEN * c >= NUM * (na + nb - c))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,35 +332,32 @@ def block_product(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of each document."""
     told = stored(summaries(docs, id_col, text_col))
-    classes = told.where("n > 0 AND id IS NOT NULL").groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep"))
-    member = stored(told.select("id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    rows = told.where("n IS NOT NULL").select("id", "n", "sig1", "sig2")
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep"))
+    member = stored(rows.join(classes, ["n", "sig1", "sig2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     reps = member.where("n > 0 AND id = rep").select("id").distinct()
-    frequent = frequent_filter(told.select("id", "wide").join(reps, "id", "left_semi"))
-    incident = stored(prefixes(docs, frequent, id_col, text_col).join(reps, "id", "left_semi").dropDuplicates(["id"]))
+    incident = stored(prefixes(docs, frequent_cells(told), id_col, text_col).join(reps, "id", "left_semi").dropDuplicates(["id"]))
     incidence = incident.select(F.explode("prefix").alias("s"), "id", "n").repartition("s").sortWithinPartitions("s", "n", "id")
     found = stored(short_and_long(incidence))
 
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     short = counted.where(_bound_sql()).select("a", "b")
     long = stored(found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("id"), F.col("nb").alias("n")))
-    stars = _stars(long.withColumn("root", F.col("id")), 0)
-    pairs = stored(short.unionByName(stars).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(long.select("id")).distinct()
-    sets = stored(whole_sets(docs, ids, id_col, text_col).dropDuplicates(["id"]))
-    links = stored(verified(pairs, sets))
+    stars = lambda members, turn: _matched(_stars(members, turn), incident, "prefix", _could_link)
+    pairs = stored(short.unionByName(stars(long.withColumn("root", F.col("id")), 0)).distinct())
+    links = stored(verified(pairs, docs, id_col, text_col))
     roots = components(links)
     for turn in range(1, STARS + 2):
         open_ = stored(_unsettled(long, roots))
         if open_.isEmpty():
             break
-        if turn <= STARS:
-            more = _stars(open_, turn)
-        else:
-            more = block_product(open_.join(incident.select("id", "prefix"), "id"))
+        more = stars(open_, turn) if turn <= STARS else block_product(open_.join(incident.select("id", "prefix"), "id"))
         more = stored(more.join(pairs, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
         pairs = pairs.unionByName(more)
-        links = links.unionByName(stored(verified(more, sets)))
-        roots = components(links)
+        new = verified(more, docs, id_col, text_col)
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new))
     out = member.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 

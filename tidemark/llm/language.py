@@ -7,7 +7,7 @@ ones the language that sorts first.
 
 Null text and text without a letter give `und` and score 0. Training rows with null lang or text count for nothing; if
 there is none, every document is `und`. Repeated rows count as often as they occur. Texts are read whole; a task holds
-one chunk of about 2 MB, or one longer text.
+one chunk of about 1 MB, or one longer text.
 """
 
 from __future__ import annotations
@@ -112,9 +112,9 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text_col: str = "text
         for i, x in enumerate(names):
             ranks[i, np.searchsorted(known, np.array(learned[x], np.uint32))] = np.arange(len(learned[x]))
         for batch in batches:
-            langs, scores = [], []
             for lo, hi, data, offs in text_chunks(batch.column(where)):
                 raw = data.tobytes()
+                langs, scores = [], []
                 for i in range(hi - lo):
                     g = top(grams(raw[offs[i] : offs[i + 1]].decode()), k)
                     if not len(g) or not names:
@@ -127,7 +127,7 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text_col: str = "text
                     d = np.where(r < 0, k, np.abs(r - np.arange(len(g)))).sum(axis=1)
                     langs.append(names[int(d.argmin())])
                     scores.append(1.0 - float(d.min()) / (k * len(g)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
 
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{pred} string", f"{score} double"])
     return df.mapInArrow(run, out)

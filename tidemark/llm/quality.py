@@ -219,9 +219,9 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", score: str = "
 
     def run(batches):
         for batch in batches:
-            s = [model.score(features(data, offs)) for _, _, data, offs in text_chunks(batch.column(where))]
-            s = np.concatenate(s) if s else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, score, predicted])
+            for lo, hi, data, offs in text_chunks(batch.column(where)):
+                s = model.score(features(data, offs))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, score, predicted])
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{score} double, {predicted} int"]))
 
