@@ -214,6 +214,20 @@ def test_product():
     assert (got == a.astype(int) @ b.T.astype(int)).all()
 
 
+def test_sketches():
+    """The bound is never below the overlap, and a full cell leaves the pair in."""
+    rng = np.random.default_rng(4)
+    full = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sketch = lambda x: np.minimum(np.bincount((x >> np.uint64(40)).astype(np.int64) & (jaccard.SKETCH - 1), minlength=jaccard.SKETCH), 255).astype(np.uint8)[None]
+    for k in (0, 100, 299):
+        a, b = full[:200], full[k:]
+        common = len(np.intersect1d(a, b))
+        assert jaccard._sketches_allow(sketch(a), sketch(b), np.array([common]))[0]
+    assert not jaccard._sketches_allow(sketch(full[:100]), sketch(full[200:]), np.array([95]))[0]
+    crowded = np.arange(300, dtype=np.uint64)
+    assert jaccard._sketches_allow(sketch(crowded), sketch(crowded), np.array([300]))[0]
+
+
 def test_exact_dedup(spark, docs, odd, empty):
     def brute(rows):
         groups = defaultdict(list)

@@ -13,9 +13,11 @@ pairs below bounds derived from set sizes.
    Stars are held against the same bound, by the two prefixes.
 4. Pairs left are verified on the whole sets. Links give components.
 5. Shingles of more than ALL_PAIRS documents that lie in several components take further stars, with other leaders,
-   then the product by blocks of documents: each task multiplies two blocks of prefixes (dense where many documents
-   share a shingle, by pairs elsewhere), skips pairs already in one component, discards by the same bound, and hands on
-   the rest to be verified. So no link between components is lost, and no group is expanded into all of its pairs.
+   then the product by blocks of documents. Shingles of much the same documents share a bundle, so that a document
+   enters once for all of them. Each task multiplies two blocks of prefixes (dense where many documents share a shingle,
+   by pairs elsewhere), skips pairs already in one component, discards by the same bound, then by counts of the whole
+   sets in SKETCH cells (the overlap is at most the sum of the lesser counts), and hands on the rest to be verified. So
+   no link between components is lost, and no group is expanded into all of its pairs.
 
 Two documents link when 100 * |a & b| >= 80 * |a | b|. Words are runs of `[^\\x20\\x09-\\x0D]` with A-Z as a-z; fewer
 than five words are one shingle. Null and empty texts have empty sets and link with nothing; a null id is left out of
@@ -44,6 +46,8 @@ CELLS, SLICES, FREQUENT, TIMES = 1 << 20, 16, 48, 4
 WANTED_BITS = 1 << 22
 BLOCK = 1024
 STARS = 2
+#: Cells of a document's sketch, and how many pairs have theirs compared in one step.
+SKETCH, STRIP = 512, 8192
 
 
 def prefix_size(n):
@@ -134,22 +138,23 @@ def frequent_cells(told: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """id, n and the prefix, in order: shingles in other cells by value, then those in frequent cells by value."""
+    """id, n, the sketch and the prefix, in order: shingles in other cells by value, then those in frequent cells by value."""
     some = bool(frequent.any())
 
     def shape(ids, sets):
-        out = []
+        out, told = [], []
         for s in sets:
             p = prefix_size(len(s)) if len(s) else 0
+            told.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes())
             if some and len(s):
                 a = (s & np.uint64(CELLS - 1)).astype(np.int64)
                 hot = (frequent[a >> 6] >> (a & 63).astype(np.uint64)) & np.uint64(1)
                 if hot[:p].any():
                     s = s[np.argsort(hot, kind="stable")]
             out.append(s[:p])
-        return {"id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "prefix": list_array(_signed(np.concatenate([*out, np.zeros(0, np.uint64)])), np.array([len(x) for x in out]))}
+        return {"id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(told, pa.binary()), "prefix": list_array(_signed(np.concatenate([*out, np.zeros(0, np.uint64)])), np.array([len(x) for x in out]))}
 
-    return _sets(docs, id_col, text_col, shape, "id long, n long, prefix array<long>")
+    return _sets(docs, id_col, text_col, shape, "id long, n long, sketch binary, prefix array<long>")
 
 
 def _could_link(c, na, nb):
@@ -295,15 +300,30 @@ def _product(ta: np.ndarray, tb: np.ndarray, oa: np.ndarray, ob: np.ndarray, na:
     return out
 
 
+def bundled(members: DataFrame) -> DataFrame:
+    """members (s, id, n, root) with shingles of much the same documents as one: s is the document of least hash of its members.
+
+    Documents that share a shingle share its bundle; size is the number of members of that."""
+    least = members.groupBy("s").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("l")).select("s", F.col("l.id").alias("g"))
+    rows = members.join(least, "s").select(F.col("g").alias("s"), "id", "n", "root").distinct()
+    return rows.join(rows.groupBy("s").agg(F.count(F.lit(1)).alias("size")), "s")
+
+
+def _sketches_allow(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether sets with the sketches in the rows of a and b can have so many shingles in common. A full cell tells nothing."""
+    least = np.minimum(a, b)
+    return (least.sum(1, dtype=np.int32) >= asked) | (least.max(1) == 255)
+
+
 def block_product(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents of different components that share a long shingle and pass the bound.
+    """Pairs (a, b) of documents of different components that share a shingle of a prefix and pass the bounds.
 
-    members: s, id, n, root, prefix, and size, the number of members of s. A shingle's members fall into blocks of
-    about BLOCK; a task multiplies two blocks. Of a pair that shares several, each shingle may hand it on."""
+    members: s, id, n, root, prefix, sketch, and size, the number of members of s. Members fall into blocks of about
+    BLOCK; a task multiplies two blocks. Of a pair with several s in common, each may hand it on."""
     side = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("long")
     rows = members.withColumn("k", side).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root", "prefix")
+    rows = rows.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root", "prefix", "sketch")
 
     def run(t: pa.Table) -> pa.Table:
         i, own = t["i"][0].as_py(), t["own"].to_numpy()
@@ -321,8 +341,15 @@ def block_product(members: DataFrame) -> DataFrame:
         l, r = left[of], right[of]
         c = _product(flat[l], flat[r], place[of[l]], place[of[r]], int(left.sum()), int(right.sum())).astype(np.int64)
         ok = (c > 0) & (root[left][:, None] != root[right][None, :]) & _could_link(c, n[left][:, None], n[right][None, :])
+        if diagonal:
+            ok = np.triu(ok)
         x, y = np.nonzero(ok)
-        a, b = ids[left][x], ids[right][y]
+        told = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        tl, tr, nl, nr = told[left], told[right], n[left], n[right]
+        asked = (NUM * (nl[x] + nr[y]) + NUM + DEN - 1) // (NUM + DEN)
+        some = [_sketches_allow(tl[x[k : k + STRIP]], tr[y[k : k + STRIP]], asked[k : k + STRIP]) for k in range(0, len(x), STRIP)]
+        ok = np.concatenate([*some, np.zeros(0, bool)])
+        a, b = ids[left][x[ok]], ids[right][y[ok]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -351,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = stored(_unsettled(long, roots))
         if open_.isEmpty():
             break
-        more = stars(open_, turn) if turn <= STARS else block_product(open_.join(incident.select("id", "prefix"), "id"))
+        more = stars(open_, turn) if turn <= STARS else block_product(bundled(open_).join(incident.select("id", "prefix", "sketch"), "id"))
         more = stored(more.join(pairs, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
