@@ -44,7 +44,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = {digest: full} if digest else {}
     hashed = stored(rows.select("_id", F.when(F.col("_again"), full).alias("full_hash"), *[v.alias(k) for k, v in more.items()]))
     groups = hashed.where("full_hash IS NOT NULL").groupBy("full_hash").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    out = hashed.join(groups, "full_hash", "left")
+    # texts that are unique already have no hash: in the join they would all meet in one task
+    alone = hashed.where("full_hash IS NULL").withColumns({"keep_id": F.col("_id"), "group_size": F.lit(1).cast("long")})
+    out = hashed.where("full_hash IS NOT NULL").join(groups, "full_hash", "left").unionByName(alone)
     keep = F.coalesce("keep_id", "_id")
     return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"), "full_hash", *more)
 
