@@ -308,6 +308,28 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string")).collect() == [Row(page_id=1, url="u", text="")]
 
 
+def test_html_names():
+    body = "<h1>Title</h1><p>First paragraph.</p><p>Second one.</p>"
+    text = "Title\nFirst paragraph.\nSecond one."
+    menu = "<nav><a href=x>Menu</a></nav><div class='site-footer'>Contact</div>"
+    # a wrapper's name doesn't blank the article inside it
+    for name in ("content no-sidebar", "has-sidebar", "page-with-sidebar", "left-sidebar", "sidebar", "widget", "comments"):
+        for tag in ("article", "main"):
+            assert html.main_text(f"<body>{menu}<div class='{name}'><{tag}>{body}</{tag}></div>") == text, name
+    assert html.main_text(f"<form id=aspnet><article>{body}</article></form>") == text
+    assert html.main_text(f"<div class='page-with-sidebar'>{body}</div>{menu}") == text
+    # parts of names, heading ids and link targets inside an article
+    inner = "<div class='entry-header header'><h1>Title</h1></div><section id='related-work'><h2 id='share-prices'>Share prices</h2><p>Text.</p></section><section id=comments><h2 id=comments class=header>Comments on it</h2></section>"
+    assert html.main_text(f"<article>{inner}<div class='social-share-buttons'>Share</div><div id=comments>Me too</div></article>") == "Title\nShare prices\nText.\nComments on it"
+    # articles of others stay only where there is none besides
+    assert html.main_text(f"<article>{body}</article><div class='related'><article>Teaser</article></div><div id='comments'><article>Me too</article></div>") == text
+    # an article that is empty or a teaser doesn't take the page's text away
+    assert html.main_text(f"<main></main><div>{body}</div><aside><article>Teaser</article></aside>") == text
+    # short articles without a mark
+    assert html.main_text(f"<body>{menu}<div>{body}</div><footer>End</footer>") == text
+    assert html.main_text("<p>Yes.</p>") == "Yes."
+
+
 def packed_well(rows, capacity):
     by = defaultdict(list)
     for r in rows:

@@ -2,12 +2,18 @@
 
 A page is cut into lines at block-level tags; markup, comments, scripts, styles and forms go. Each line has its text
 length, which is zero for lines of menus, headers, footers, sidebars, notices, adverts and reader comments (told by tag,
-class, id or role), for lines outside `article` or `main` where a page has one, and for lines that are links for the
-most part. The lengths are summed over sliding windows of BLOCK lines. Text surges where a sum rises from zero above a
-threshold and dives where sums come back to zero; the lines between a surge and its dive stay, except those of length
-zero. Where a page marks its article, the threshold is zero: short paragraphs stay too. A line inside such a span is
+class, id or role), for lines outside `article` or `main` where a page has one with text, and for lines that are links
+for the most part on other pages. The lengths are summed over sliding windows of BLOCK lines. Text surges where a sum
+rises from zero above a threshold and dives where sums come back to zero; the lines between a surge and its dive stay,
+except those of length zero. Where a page marks its article, the threshold is zero: short paragraphs stay too. Elsewhere
+it comes from the page's own lines, and is SURGE at most: a page of short lines keeps them. A line inside such a span is
 never dropped or cut for being short.
 
+Names count as whole tokens of class, id or role, each part of which must be known: `cookie-notice` is boilerplate;
+`no-sidebar`, `related-work` and `entry-header` are not. Headings have no names, and inside an article an id is one on a
+`div` or a list alone, as other ids there are link targets. The name of a wrapper (or a form) never blanks an article
+inside it, but articles inside reader comments or related items stay only where no other article has text.
+
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and joined by a
 newline. Null, empty and text-free html gives an empty text. Unclosed tags close at the end of the page. Repeated rows
 give repeated results; an empty table an empty one. A page is one row of work.
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,37 +35,68 @@ BLOCK = 3
 SURGE = 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SKIP = frozenset("head nav footer aside form button dialog".split())
 _MAIN = frozenset("article main".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|replies|reply|respond|sharing|share|sidebar|signup|social|sponsor\w*|subscribe|widget|complementary|contentinfo)(?=$|[\s_-])", re.I)
+_PLAIN = frozenset("body html article main h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Whole tokens of class, id or role: parts that name boilerplate, with parts that say nothing around them.
+_PART = r"ads?|adv|advert\w*|banner|breadcrumbs?|consent|cookies?|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|widget|complementary|contentinfo"
+_OTHERS = r"comments?|commentlist|disqus|related|replies|reply|respond"
+_AROUND = r"area|bar|block|box|buttons?|container|global|icons?|inner|items?|links?|list|main|media|primary|reader|secondary|section|site|slot|thread|top|unit|user|wrap|wrapper"
+_NAMES = re.compile(rf"(?:(?:{_AROUND})[_-]+)*(?:{_PART}|{_OTHERS})(?:[_-]+(?:{_PART}|{_OTHERS}|{_AROUND}|\d+))*", re.I)
+_READERS = re.compile(rf"(?:.*[_-])?(?:{_OTHERS})(?:[_-].*)?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """(text, characters inside links, boilerplate, inside the article) of each line, and whether the page marks an article."""
-    out: list[tuple[str, int, bool, bool]] = []
+#: Boilerplate: not at all, by a wrapper's name, inside readers' comments or related items, by tag.
+TEXT, NAMED, OTHERS, TAGGED = range(4)
+
+
+def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
+    if tag in _SKIP:
+        return NAMED if tag == "form" else TAGGED
+    if tag == "header" and not inside:
+        return TAGGED
+    if tag in _PLAIN and tag != "article" or "=" not in attributes:
+        return TEXT
+    found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").split()) for m in _ATTR.finditer(attributes)]
+    section = any(t == "section" for name, tokens in found if name == "class" for t in tokens)
+    level = TEXT
+    for name, tokens in found:
+        if name == "id" and inside and (tag not in ("div", "ul", "ol") or section):
+            continue
+        for t in tokens:
+            # an article's own header stays, as the tag does
+            if _NAMES.fullmatch(t) and not (inside and re.search("header|masthead", t, re.I)):
+                others = bool(_READERS.fullmatch(t))
+                if tag != "article" or others and "comment" in t.lower():
+                    level = max(level, OTHERS if others else NAMED)
+    return level
+
+
+def lines(html: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters inside links, boilerplate, article) of each line; article: 0 outside, 1 inside one, 2 inside one among comments or related items."""
+    out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked, links = 0, 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
-    skip = main = 0
-    marked = False
+    stack: list[tuple[str, int, int]] = []  # tag, and boilerplate and article around it
+    skip, main = TEXT, 0
 
     def end() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((text, linked, skip > 0, main > 0))
+            out.append((text, linked, skip > TEXT, main))
         parts.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal skip, main, links
-        tag, bad, art = stack.pop()
-        skip, main, links = skip - bad, main - art, links - (tag == "a")
+        tag, skip, main = stack.pop()
+        links -= tag == "a"
 
     def text_at(a: int, b: int) -> None:
         nonlocal linked
@@ -96,16 +134,16 @@ def lines(html: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             elif tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 while stack and (stack[-1][0] in _INLINE or stack[-1][0] in (tag, "p")):
                     pop()
-            inside = any(s[2] for s in stack)
-            named = " ".join(v for a in _ATTR.findall(m[4]) for v in a if v) if "=" in m[4] else ""
-            bad = tag in _SKIP or tag == "header" and not inside or tag not in ("body", "html", "article", "main") and bool(named and _NAMES.search(named)) or tag == "article" and bool(named and re.search(r"(?:^|[\s_-])comments?(?=$|[\s_-])", named, re.I))
-            art = tag in _MAIN and not bad
-            marked = marked or art
-            stack.append((tag, bad, art))
-            skip, main, links = skip + bad, main + art, links + (tag == "a")
+            bad = _boilerplate(tag, m[4], main > 0)
+            stack.append((tag, skip, main))
+            if tag in _MAIN and bad == TEXT and skip < TAGGED:
+                main, skip = 2 if skip == OTHERS or main == 2 else 1, TEXT
+            else:
+                skip = max(skip, bad)
+            links += tag == "a"
     text_at(at, len(html))
     end()
-    return out, marked
+    return out
 
 
 def spans(lengths: list[int], threshold: int, block: int = BLOCK) -> list[tuple[int, int]]:
@@ -125,10 +163,17 @@ def spans(lengths: list[int], threshold: int, block: int = BLOCK) -> list[tuple[
     return out
 
 
+def surge(lengths: list[int], block: int = BLOCK) -> float:
+    """The least of SURGE, half of the page's median line and a quarter of its largest block sum."""
+    some = [n for n in lengths if n]
+    return min(SURGE, median(some) / 2, max(sum(lengths[i : i + block]) for i in range(len(lengths))) / 4) if some else 0
+
+
 def main_text(html: str | None) -> str:
-    found, marked = lines(html or "")
-    lengths = [0 if bad or marked and not inside or not marked and 2 * linked > len(text) else len(text) for text, linked, bad, inside in found]
-    kept = [found[k][0] for a, b in spans(lengths, 0 if marked else SURGE) for k in range(a, b) if lengths[k]]
+    found = lines(html or "")
+    of = min((article for _, _, bad, article in found if article and not bad), default=0)
+    lengths = [0 if bad or article != of and of or not of and 2 * linked > len(text) else len(text) for text, linked, bad, article in found]
+    kept = [found[k][0] for a, b in spans(lengths, 0 if of else surge(lengths)) for k in range(a, b) if lengths[k]]
     return "\n".join(kept)
 
 
