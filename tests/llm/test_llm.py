@@ -142,6 +142,23 @@ def test_syncmers(spark, docs, odd, empty, tmp_path):
     assert syncmers.op3_syncmers(spark, folder(empty, tmp_path / "e")).count() == 0
 
 
+def test_syncmers_without_spaces(spark):
+    """Half of an unspaced text unchanged is half in common, at every length and on both sides of a thousand code points."""
+    rng = np.random.default_rng(3)
+    text = lambda n, base, size: "".join(map(chr, base + rng.integers(0, size, n)))
+    pairs = []
+    for base, size in ((0x4E00, 3000), (0x61, 26), (0x20000, 3000)):
+        for n in (400, 1001, 6000):
+            t = text(n, base, size)
+            pairs.append((t, t[: n // 2] + text(n - n // 2, base, size)))
+            pairs.append((t, text(n, base, size)))
+    t = text(1010, 0x4E00, 3000)
+    pairs.append((t, t[:990]))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string").orderBy("i")
+    like = [r.x for r in df.select("i", syncmers.likeness(syncmers.anchors(df["a"]), syncmers.anchors(df["b"])).alias("x")).orderBy("i").collect()]
+    assert all(0.35 < x < 0.65 for x in like[:-1:2]) and max(like[1:-1:2]) < 0.05 and like[-1] > 0.9, like
+
+
 def words(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
 

@@ -1,14 +1,14 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is cut into units: its words (runs without white space), and for short texts its code points too. A window of K
+A text is cut into units: its words (runs without white space), and its code points. A window of K
 units is an anchor when the least hash of its runs of S units stands at its first or last place. Whether a window is
 one depends on its own units alone, so an edit elsewhere moves no anchor: the anchors before an edit keep hash and
 place, those behind it hash and order. A text with fewer than K units has one anchor of all its units.
 
-The fingerprint is a string: `w` and the anchors of words, then for texts of up to SHORT code points `c` and the
-anchors of code points; each is the hash in hexadecimal, in order of place. Likeness of two fingerprints is the Dice
-share of distinct anchors in common: by code points where both have them, else by words. Two empty texts are alike (1),
-an empty and another are not (0).
+The fingerprint is a string: `w` and the anchors of words, then `c` and the anchors of code points; each is the hash in
+hexadecimal, in order of place. Likeness of two fingerprints is the Dice share of distinct anchors of code points in
+common, at every length and whether or not a text has spaces. Two empty texts are alike (1), an empty and another are
+not (0).
 
 Null text counts as empty. Repeated rows and equal ids: the next document is the next row in order of id, then text
 hash. A null id orders first. An empty table gives an empty result.
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: Units in a window and in the runs whose hashes are compared: of words, of code points.
-WORDS, POINTS = (5, 2), (6, 2)
-SHORT = 1000
+WORDS, POINTS = (5, 2), (8, 2)
 #: Rows for each window partition that looks up the following document.
 BUCKET_ROWS = 256
 
@@ -54,26 +53,24 @@ def _anchors(hashes: Column, k: int, s: int) -> Column:
     return _let(hashes, of)
 
 
-def anchors(text: Column, short: int = SHORT) -> Column:
-    """struct(w, c) of anchor hashes of words and, for short texts, code points (null for others)."""
+def anchors(text: Column) -> Column:
+    """struct(w, c) of anchor hashes of words and of code points."""
     text = F.coalesce(text, F.lit(""))
-    units = lambda pattern: F.transform(F.filter(F.split(text, pattern), lambda u: u != ""), lambda u: F.xxhash64(u))
-    return F.struct(_anchors(units(r"[\x20\x09-\x0D]+"), *WORDS).alias("w"), F.when(F.length(text) <= short, _anchors(units(""), *POINTS)).alias("c"))
+    words = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda u: u != ""), lambda u: F.xxhash64(u))
+    points = F.slice(F.split(text, ""), F.lit(1), F.length(text))
+    return F.struct(_anchors(words, *WORDS).alias("w"), _anchors(points, *POINTS).alias("c"))
 
 
 def fingerprint(found: Column) -> Column:
     hexed = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), " ")
-    return F.concat(F.lit("w "), hexed(found["w"]), F.when(found["c"].isNotNull(), F.concat(F.lit(" c "), hexed(found["c"]))).otherwise(F.lit("")))
+    return F.concat(F.lit("w "), hexed(found["w"]), F.lit(" c "), hexed(found["c"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice share of the distinct anchors of two structs of anchors(), 0 to 1."""
-
-    def dice(x, y):
-        both = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))
-        return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
-
-    return F.when(a["c"].isNotNull() & b["c"].isNotNull(), dice(a["c"], b["c"])).otherwise(dice(a["w"], b["w"]))
+    """Dice share of the distinct code point anchors of two structs of anchors(), 0 to 1."""
+    x, y = a["c"], b["c"]
+    both = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
 
 def _bucketed(df: DataFrame, id_col: str) -> DataFrame:
