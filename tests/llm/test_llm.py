@@ -261,6 +261,14 @@ def test_exact_dedup(spark, docs, odd, empty):
     assert dedup.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_decides_by_row(spark):
+    """One id, or none, for a copy and for other texts: only the copy goes."""
+    rows = [(1, "a copy"), (None, "a  copy"), (None, "only here"), (None, "and here"), (2, "a copy"), (2, "its own"), (3, "its own"), (4, None), (None, "")]
+    got = corpus_pipeline.drop_copies(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], SCHEMA), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, "a copy"), (None, "only here"), (None, "and here"), (2, "its own"), (4, None)])
+
+
 def test_quality(spark, docs, odd, empty, tmp_path):
     got = {r.doc_id: r for r in quality.op6_quality(spark, "/root/testdata/sf0.01").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}

@@ -53,8 +53,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, whose text no row with a smaller id repeats. Rows that repeat an id that stays all stay."""
-    dropped = exact_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return df.join(dropped, df[id_col].eqNullSafe(F.col("_dropped")), "left_anti")
+    dropped = exact_groups(df, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped"), F.col("full_hash").alias("_dropped_hash")).distinct()
+    # by id and text: rows that share an id, or have none, may differ in text
+    rows = df.withColumn("_text_hash", F.sha2(normalised(F.col(text_col)), 256))
+    return rows.join(dropped, rows[id_col].eqNullSafe(F.col("_dropped")) & (F.col("_text_hash") == F.col("_dropped_hash")), "left_anti").drop("_text_hash")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
