@@ -256,6 +256,25 @@ def test_bootstrap_widths(spark):
     assert both.ci_low <= min(both.ticker_low, both.date_low) and both.ci_high >= max(both.ticker_high, both.date_high)
 
 
+def test_two_way_replicates(spark):
+    rng = np.random.default_rng(6)
+    cell = {(t, d): float(rng.normal(t, 2 + d)) for t in range(8) for d in range(12) if rng.random() < 0.5}
+    diagonal = {(i, i): float(i) for i in range(3)}
+    for values in (cell, diagonal):
+        ev = spark.createDataFrame([(f"T{t}", D(2024, 1, 1) + dt.timedelta(d), v) for (t, d), v in values.items()], "symbol string, execution_date date, r double")
+        got = stats.two_way_bootstrap(ev, "r").first()
+        assert got.replicates == 2000
+        # the definition row by row; without a row of both, the drawn tickers count
+        means, (ts, ds) = [], [sorted({k[i] for k in values}) for i in (0, 1)]
+        for _ in range(4000):
+            a, b = set(rng.choice(ts, len(ts))), set(rng.choice(ds, len(ds)))
+            means.append(np.mean([v for (t, d), v in values.items() if t in a and d in b] or [v for (t, d), v in values.items() if t in a]))
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert abs(got.both_low - low) < 0.12 * (high - low) and abs(got.both_high - high) < 0.12 * (high - low)
+    assert stats.two_way_bootstrap(ev, "r", replicates=250).first().replicates == 250
+    assert stats.two_way_bootstrap(ev.limit(0), "r").first().replicates == 0
+
+
 def test_quality(spark):
     days = business_days("2024-01-01", 8)
     good = bars_of(spark, "GOOD", days, [100, 101, 102, 103, 104, 105, 106, 107])

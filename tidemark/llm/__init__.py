@@ -1 +1 @@
-"""Operators for large training-data pipelines; nothing outside this subpackage imports it."""
+"""Operators for large training-data pipelines; outside it, only `functions.stats` imports one helper of `common`."""
