@@ -383,11 +383,20 @@ def test_packing(spark, docs, odd, empty):
             x = ids[at : at + 2048]
             want[d["doc_id"], p] = (at, len(x), zlib.crc32(x.tobytes()))
     assert got == want and len(rows) == len(want)
-    texts = [t.text or "" for t in odd.collect() if len(t.text or "") < 1000] + ["<|endoftext|> á b\r\nc\x85d Σ ΑΣ ΣΑ", "it's 12 don't!?x"]
-    enc = packing.WordEncoder(public_tokenizers.path(packing.DEFAULT_TOKENIZER))
-    assert [x.tolist() for x in enc([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = [t.text or "" for t in odd.collect() if len(t.text or "") < 1000] + ["<|endoftext|> á b\r\nc\x85d Σ ΑΣ ΣΑ", "it's 12 don't!?x", "x<|startoftext|>Y", "ÉCOLE ×÷ß2é", "e\u0301t\u00e9 \"'s \u2028z"]
+    rng = np.random.default_rng(5)
+    letters = [*"abXYstvmldr'\"!?,<|>01 \t\n\x1c\x85\xa0éÀÿß×÷ŸİǅſΣ²½ª«“”…\u200b\u0301\u0323Я中\U0001f600ﬁⅧ٣", "<|endoftext|>", "'s", "'LL"]
+    texts += ["".join(rng.choice(letters, rng.integers(0, 25))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    ids, cuts = packing.WordEncoder(public_tokenizers.path(packing.DEFAULT_TOKENIZER))(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])), 0)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     packed_well(packing.pack_documents(odd).collect(), 2048)
     assert packing.pack_documents(empty).count() == 0
+    # pieces as long as a sequence, null and repeated ids, and buckets of a few rows
+    rows = spark.createDataFrame([(i if i % 7 else None, 0, [8, 3, 5, 2, 8][i % 5]) for i in range(200)] + [(4, 0, 5)] * 5, "doc_id long, piece int, length long")
+    for ranked in (2, 1000):
+        got = packing.pack(rows, 8, ranked=ranked).collect()
+        assert len(got) == 205 and packed_well(got, 8) == (134, 1065)
 
 
 def optimum(items, capacity):

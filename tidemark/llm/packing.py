@@ -5,11 +5,10 @@ whatever the corpus holds. The plan is made on these counts (the only thing that
 reduction fixes sets of one to three lengths that dominate every other way to fill a sequence with the largest length
 left; it stops at a largest length with no such set, and best-fit decreasing packs the remainder. The plan is a list of
 patterns (lengths in one sequence) with multiplicities, at most a few thousand; tasks rank the pieces of each length,
-salted over buckets, and look their place up in it.
+salted over buckets, and look their place up in it. A piece as long as a sequence needs no plan.
 
-Null text counts as empty: a document of the end id alone. Texts are tokenised whole; words between white space are
-encoded apart, which is exact because the pre-tokeniser never joins what white space parts, and a bounded memo keeps
-frequent ones. Rows that repeat an id are separate documents only as far as (id, piece) tells them apart: each row gets
+Null text counts as empty: a document of the end id alone. Texts are tokenised whole; what the pre-tokeniser parts is
+encoded apart (see units()), which is exact because merges never cross it, and a bounded memo keeps frequent units. Rows that repeat an id are separate documents only as far as (id, piece) tells them apart: each row gets
 a place of its own all the same. A null id is packed like any other. An empty table gives an empty result.
 """
 
@@ -32,58 +31,115 @@ from .common import stored, table, text_chunks
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END = 0
-#: A worker forgets its memo of words beyond so many words or bytes of them.
-MEMO_WORDS, MEMO_BYTES = 200_000, 32 << 20
-BUCKETS = 64
+#: A worker keeps the ids of the units it met last: between so many and twice as many units, or bytes of them.
+MEMO_UNITS, MEMO_BYTES = 150_000, 16 << 20
+#: Text bytes in one step of a task.
+CHUNK = 4 << 20
+#: Rows of one length that a task ranks, about.
+RANKED = 100_000
+
+# Classes of bytes: white space, letters, digits, all else. C3 and a byte behind it are a Latin letter, but for C3 97 and C3 B7.
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What may follow an apostrophe in the tokenizer's contractions ('s, 't, 're, 've, 'm, 'll, 'd); fixed values.
+_CONTRACTION = np.zeros(256, bool)
+_CONTRACTION[[ord(c) for c in "strvmldSTRVMLD"]] = True
+
+
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What the tokenizer encodes apart in the texts data[offs[i]:offs[i + 1]], in order, and the row of each unit.
+
+    In words of ASCII and Latin letters these are runs of letters, single digits and runs of other characters, in lower
+    case, as the tokenizer's own rule has them. A word with any other character, a possible contraction or a possible
+    special token stays whole and as it is: the tokenizer parts it."""
+    n = len(data)
+    kind = _CLASS[data]
+    before = np.zeros(n, np.uint8)
+    before[1:] = data[:-1]
+    heads = offs[:-1][offs[:-1] < n]
+    before[heads] = 0
+    second = before == 0xC3
+    odd = (data >= 0x80) & (data != 0xC3) & ~second | second & ((data == 0x97) | (data == 0xB7)) | (data == 0x7C) & (before == 0x3C) | _CONTRACTION[data] & (before == 0x27)
+    low = _LOWER[data]
+    low[second & (data < 0x9F)] += 0x20
+    text = kind != _SPACE
+    starts = np.ones(n, bool)
+    starts[1:] = kind[1:] != kind[:-1]
+    starts[heads] = True
+    starts |= kind == _DIGIT
+    starts &= text
+    if odd.any():
+        word = text.copy()
+        word[1:] &= ~text[:-1]
+        word[heads] = text[heads]
+        first = np.flatnonzero(word)
+        k = np.unique(np.searchsorted(first, np.flatnonzero(odd), "right") - 1)
+        a, b = first[k], np.append(first, n)[k + 1]
+        edges = np.zeros(n + 1, np.int8)
+        edges[a] = 1
+        edges[b] -= 1
+        whole = np.cumsum(edges[:n], dtype=np.int8) > 0
+        starts &= ~whole
+        starts[a] = True
+        low = np.where(whole, data, low)
+    at = np.flatnonzero(starts)
+    packed = low[text]
+    place = np.append(np.cumsum(text)[at] - 1, len(packed)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(place), pa.py_buffer(packed)])
+    return found, np.searchsorted(offs, at, "right") - 1
 
 
 class WordEncoder:
-    """Token ids of texts, word by word between ASCII white space."""
+    """Token ids of texts: the units of a chunk are told apart by Arrow, and only those not met of late are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.kept = 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        ids = [x.ids for x in encode([w.decode() for w in words], add_special_tokens=False)]
-        self.kept += sum(map(len, words))
-        n, total = len(self.index), sum(map(len, ids))
-        while self.used + total > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        while n + len(words) > len(self.start):
-            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-        for k, (w, x) in enumerate(zip(words, ids), n):
-            self.index[w], self.start[k], self.size[k] = k, self.used, len(x)
-            self.flat[self.used : self.used + len(x)] = x
-            self.used += len(x)
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        """texts: in UTF-8; bytes.split() parts at ASCII white space alone."""
-        if len(self.index) > MEMO_WORDS or self.kept > MEMO_BYTES:
-            self.clear()
-        parts = [t.split() for t in texts]
-        words = [w for p in parts for w in p]
-        new = set(words).difference(self.index)
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        size, first = self.size[at], self.start[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(first - (ends - size), size) + np.arange(total)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, parts)])]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _of(self, distinct: list[bytes]) -> list[bytes]:
+        if len(self.new) > MEMO_UNITS or self.kept > MEMO_BYTES:
+            self.old, self.new, self.kept = self.new, {}, 0
+        new, old = self.new, self.old
+        missing = [u for u in distinct if u not in new]
+        unknown = []
+        for u in missing:
+            ids = old.get(u)
+            if ids is None:
+                unknown.append(u)
+            else:
+                new[u] = ids
+        if unknown:
+            encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+            for u, x in zip(unknown, encode([u.decode() for u in unknown], add_special_tokens=False)):
+                new[u] = np.array(x.ids, "<u4").tobytes()
+        self.kept += sum(map(len, missing))
+        return list(map(new.__getitem__, distinct))
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts one behind the other, each with `end` behind it, and where each text begins and ends."""
+        found, row = units(data, offs)
+        coded = found.dictionary_encode()
+        told = [*self._of(coded.dictionary.to_pylist()), np.array([end], "<u4").tobytes()]
+        flat = np.frombuffer(b"".join(told), "<u4")
+        size = np.fromiter(map(len, told), np.int64, len(told)) // 4
+        first = np.cumsum(size) - size
+        n = len(offs) - 1
+        # the end of each text is one more unit behind its last
+        behind = np.searchsorted(row, np.arange(n), "right")
+        which = np.insert(coded.indices.to_numpy().astype(np.int64), behind, len(told) - 1)
+        each = size[which]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(first[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.append(0, ends[behind + np.arange(n)]) if n else np.zeros(1, np.int64)
 
 
 @cache
@@ -100,14 +156,13 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
         environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         enc = encoder(tokenizer)
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(1), 1 << 20):
-                raw = data.tobytes()
+            for lo, hi, data, offs in text_chunks(batch.column(1), CHUNK):
                 rows: list[tuple] = []
-                for i, ids in enumerate(enc([raw[offs[k] : offs[k + 1]] for k in range(hi - lo)])):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    for p, at in enumerate(range(0, len(ids), capacity)):
-                        x = ids[at : at + capacity]
-                        rows.append((lo + i, p, at, len(x), zlib.crc32(x.tobytes())))
+                ids, cuts = enc(data, offs, end)
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()), lo):
+                    for p, at in enumerate(range(a, b, capacity)):
+                        x = ids[at : min(at + capacity, b)]
+                        rows.append((i, p, at - a, len(x), zlib.crc32(x.data)))
                 t = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t[:, 0])), pa.array(t[:, 1].astype(np.int32)), pa.array(t[:, 2]), pa.array(t[:, 3]), pa.array(t[:, 4])], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
@@ -234,22 +289,22 @@ def places(found: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return sorted(out)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    """rows (with id_col, piece and length) with sequence_id and offset. rows must give the same rows each time it is read."""
-    salted = rows.withColumn("_b", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)))
-    sizes = [(r.length, r._b, r.n) for r in salted.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("n")).collect()]  # capacity x buckets rows at most
-    first, seen = [], Counter()
-    for length, b, n in sorted(sizes):
-        first.append((length, b, seen[length]))
-        seen[length] += n
-    spark = rows.sparkSession
-    starts = spark.createDataFrame(first, "length long, _b long, _first long")
-    where = places(plan(dict(seen), capacity))
-    rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy(*rows.columns)) - 1
-    ranked = salted.withColumn("_rank", rank).join(F.broadcast(starts), ["length", "_b"]).withColumn("_rank", F.col("_rank") + F.col("_first")).drop("_first", "_b")
-    index = rows.columns.index("length")
-    runs = np.array(where, np.int64).reshape(-1, 6)
+def pack(rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", ranked: int = RANKED) -> DataFrame:
+    """rows (with id_col, piece and length) with sequence_id and offset. rows must give the same rows each time it is read.
+
+    A piece as long as a sequence is one of its own. The other pieces of a length are parted over buckets, as many as
+    make about `ranked` rows each; running sums over the buckets' sizes, in Spark, turn ranks within buckets into ranks.
+    """
     names = rows.columns
+    seen = {r.length: r.n for r in rows.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    runs = np.array(places(plan(seen, capacity)), np.int64).reshape(-1, 6)
+    buckets = max(1, -(-max(seen.values(), default=1) // ranked))
+    salted = rows.where(F.col("length") < capacity).withColumn("_b", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)))
+    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    first = salted.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n")).select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("length", "_b").orderBy(*names)) - 1
+    placed = salted.withColumn("_rank", within).join(first, ["length", "_b"]).select(*names, (F.col("_rank") + F.col("_first")).alias("_rank"))
+    index = names.index("length")
 
     def run(batches):
         key = runs[:, 0] << 40 | runs[:, 1]
@@ -260,7 +315,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", buck
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(r[:, 4] + k // r[:, 3]), pa.array(r[:, 5] + k % r[:, 3] * length)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "sequence_id long, offset long"])
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    alone = rows.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.mapInArrow(run, schema).unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
