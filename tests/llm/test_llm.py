@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import chat, dedup, html, jaccard, language, packing, pieces, quality, syncmers, warc
@@ -108,40 +109,109 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def anchors(hashes, k, s, h):
-    runs = [h(hashes[i : i + s]) for i in range(len(hashes) - s + 1)]
-    m = k - s + 1
-    found = [h(runs[i : i + m]) for i in range(len(runs) - m + 1) if len(hashes) >= k and min(runs[i], runs[i + m - 1]) == min(runs[i : i + m])]
-    return found or ([h(hashes)] if hashes else [])
-
-
-def test_syncmers(spark, docs, odd, empty, tmp_path):
-    got = {r.doc_id: r for r in syncmers.op3_syncmers(spark, SF).collect()}
+def murmur3(values, seed=42):
+    """Spark's hash() of long values (None is passed over; ints are tagged) and of one text."""
+
+    def mix_k(k):
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        return ((k << 15 | k >> 17) & 0xFFFFFFFF) * 0x1B873593 & 0xFFFFFFFF
+
+    def mix_h(h, k):
+        h ^= mix_k(k)
+        return ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+
+    def fmix(h, n):
+        h ^= n
+        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        return h ^ h >> 16
+
+    h = seed
+    for v in values:
+        if isinstance(v, str):
+            raw = v.encode()
+            whole = len(raw) - len(raw) % 4
+            for i in range(0, whole, 4):
+                h = mix_h(h, int.from_bytes(raw[i : i + 4], "little"))
+            for x in raw[whole:]:
+                h = mix_h(h, x - 256 & 0xFFFFFFFF if x > 127 else x)
+            h = fmix(h, len(raw))
+        elif isinstance(v, tuple):  # an int
+            h = fmix(mix_h(h, v[0] & 0xFFFFFFFF), 4)
+        elif v is not None:
+            h = fmix(mix_h(mix_h(h, v & 0xFFFFFFFF), v >> 32 & 0xFFFFFFFF), 8)
+    return h
+
+
+def closed_syncmers(text, k=syncmers.K, s=syncmers.S):
+    """Places and entries, by the definition: hashes of all runs, and the windows with a least one at an edge."""
+    import xxhash
+
+    if not text:
+        return [], []
+    runs = []
+    for i in range(len(text) - s + 1):
+        h = 42
+        for c in text[i : i + s]:
+            h = xxhash.xxh64_intdigest(c.encode(), h)
+        runs.append(h - (1 << 64) if h >> 63 else h)
+    at = [i for i in range(len(text) - k + 1) if min(runs[i : i + k - s + 1]) in (runs[i], runs[i + k - s])]
+    if not at:
+        return [0], [murmur3([text])]
+    gaps = [(b - a,) for a, b in zip(at, at[1:])] + [None]
+    return at, [murmur3([runs[j] for j in range(i, i + k - s + 1, s)] + [g]) for i, g in zip(at, gaps)]
+
+
+def dice(a, b):
+    return 2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b))) if a or b else 1.0
+
+
+def check_syncmers(got, docs):
+    """got: rows of op3. docs: (id, text) in order."""
     assert len(got) == len(docs)
+    of = lambda e: " ".join(f"{x:x}" for x in e)
     near = []
-    for i, d in enumerate(docs):
-        t, x = d["text"] or "", docs[(i + 1) % len(docs)]["text"] or ""
+    for i, (d, t) in enumerate(docs):
+        t, x = t or "", docs[(i + 1) % len(docs)][1] or ""
         half = len(t) // 2
         e = t[: len(t) - half] + x[:half]
-        r = got[d["doc_id"]]
-        assert (r.n_chars, r.edited_sha256) == (len(t), sha(e)) and r.fingerprint
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        r = got[d]
+        a, b, c = (closed_syncmers(v)[1] for v in (t, e, x))
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), sha(e), of(a), of(b))
+        assert abs(r.near_edited - dice(a, b)) < 1e-12 and abs(r.near_next - dice(a, c)) < 1e-12
         near.append((r.near_edited, r.near_next))
-        # as many anchors as brute force finds, with a hash of its own
-        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
-        n_words = len(re.findall(r"[0-9a-f]+", r.fingerprint.split(" c ")[0][2:]))
-        assert abs(n_words - len(anchors(words, *syncmers.WORDS, lambda v: sha("\0".join(v))))) <= 6 + 0.3 * len(words)
-    near = np.array(near)
+    return np.array(near)
+
+
+def test_syncmers(spark, docs, odd, empty, tmp_path):
+    got = {r.doc_id: r for r in syncmers.op3_syncmers(spark, SF).collect()}
+    near = check_syncmers(got, [(d["doc_id"], d["text"]) for d in docs])
     assert near[:, 0].mean() > 0.4 and near[:, 1].mean() < 0.15 and (near[:, 0] > near[:, 1]).mean() > 0.97
     by_text = defaultdict(set)
-    rows = syncmers.op3_syncmers(spark, folder(odd, tmp_path / "o")).collect()
+    rows = syncmers.op3_syncmers(spark, folder(odd.withColumn("_bucket", F.lit("x")), tmp_path / "o")).collect()
     assert len(rows) == odd.count()
     for r in rows:
         by_text[r.n_chars].add(r.fingerprint)
-    assert len(by_text[480_000]) == 1 and by_text[0] == {"w  c "}
+    assert len(by_text[480_000]) == 1 and by_text[0] == {""}
     assert syncmers.op3_syncmers(spark, folder(empty, tmp_path / "e")).count() == 0
 
 
+def test_syncmers_order_of_ids(spark, tmp_path, monkeypatch):
+    """Far-off and negative ids, several null ones, and the places of anchors."""
+    monkeypatch.setattr(syncmers, "RANGES", 8)
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 3)
+    ids = [-(1 << 63), -5, *range(100, 160), 1 << 40, (1 << 63) - 1]
+    texts = {i: f"text number {k} with some more words, é中\U0001f600 {k * k}" for k, i in enumerate(ids)}
+    got = {r.doc_id: r for r in syncmers.op3_syncmers(spark, folder(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tmp_path / "a")).collect()}
+    check_syncmers(got, sorted(texts.items()))
+    nulls = [(None, f"no id {k}") for k in range(9)] + [(3, "three")]
+    rows = syncmers.op3_syncmers(spark, folder(spark.createDataFrame(nulls, "doc_id long, text string"), tmp_path / "b")).collect()
+    assert len(rows) == 10
+    t = texts[100]
+    r = spark.createDataFrame([(t,)], "t string").select(syncmers.anchors(F.col("t")).alias("a")).first().a
+    assert (r["at"], [x & 0xFFFFFFFF for x in r.entry]) == tuple(closed_syncmers(t))
+
+
 def test_syncmers_without_spaces(spark):
     """Half of an unspaced text unchanged is half in common, at every length and on both sides of a thousand code points."""
     rng = np.random.default_rng(3)

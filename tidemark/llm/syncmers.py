@@ -1,17 +1,18 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is cut into units: its words (runs without white space), and its code points. A window of K
-units is an anchor when the least hash of its runs of S units stands at its first or last place. Whether a window is
-one depends on its own units alone, so an edit elsewhere moves no anchor: the anchors before an edit keep hash and
-place, those behind it hash and order. A text with fewer than K units has one anchor of all its units.
-
-The fingerprint is a string: `w` and the anchors of words, then `c` and the anchors of code points; each is the hash in
-hexadecimal, in order of place. Likeness of two fingerprints is the Dice share of distinct anchors of code points in
-common, at every length and whether or not a text has spaces. Two empty texts are alike (1), an empty and another are
-not (0).
-
-Null text counts as empty. Repeated rows and equal ids: the next document is the next row in order of id, then text
-hash. A null id orders first. An empty table gives an empty result.
+A window of K code points is an anchor when the least hash of its runs of S code points stands at its first or last
+place. Whether a window is one depends on its own code points alone, so an edit elsewhere moves no anchor: those before
+an edit keep hash and place, those behind it hash and distance to one another. A text with fewer than K code points has
+one anchor of the whole, as has one without any other.
+
+Matching is by place: an entry binds an anchor's hash to the distance from its place to the next anchor's, so entries of
+two texts are equal where the same two anchors begin equally far apart, wherever in the texts that is. The fingerprint
+is the entries in hexadecimal, in order of place. Likeness is the Dice share of distinct entries in common, by the one
+rule for every length and whether or not a text has spaces. Two empty texts are alike (1), an empty and another are not
+(0).
+
+Null text counts as empty. Ids are whole numbers. Repeated rows and equal ids: the next document is the next row in order
+of id, then text hash. A null id orders first. An empty table gives an empty result. Other columns are passed over.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Units in a window and in the runs whose hashes are compared: of words, of code points.
-WORDS, POINTS = (5, 2), (8, 2)
-#: Rows for each window partition that looks up the following document.
-BUCKET_ROWS = 256
+#: Code points of a window, and of the runs whose hashes are compared.
+K, S = 8, 2
+#: Ranges of ids with about equal counts of rows, and rows for each window partition that looks up the following document.
+RANGES, BUCKET_ROWS = 512, 256
 
 
 def _let(value: Column, body) -> Column:
@@ -32,62 +33,70 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _anchors(hashes: Column, k: int, s: int) -> Column:
-    """32-bit hashes of the closed syncmers of an array of unit hashes, in order of place."""
-    m = k - s + 1
-
-    def closed(h: Column) -> Column:
-        def edge(i):
-            middle = F.least(*[F.get(h, i + j) for j in range(1, m - 1)])
-            return F.least(F.get(h, i), F.get(h, i + m - 1)) <= middle
-
-        at = F.filter(F.sequence(F.lit(0), F.size(h) - m), edge)
-        return F.transform(at, lambda i: F.hash(*[F.get(h, i + j) for j in range(m)]))
+def anchors(text: Column) -> Column:
+    """struct(at, entry) of arrays: places of the anchors, and the hash of each with the distance to the next."""
+    m = K - S + 1
 
-    def of(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
-        whole = F.array(F.aggregate(h, F.lit(0), lambda a, x: F.hash(a, x)))
-        found = F.when(F.size(h) >= k, _let(runs, closed)).otherwise(F.array().cast("array<int>"))
-        return _let(found, lambda x: F.when((F.size(x) == 0) & (F.size(h) > 0), whole).otherwise(x))
+    def edge(h: Column, i: Column) -> Column:
+        middle = F.least(*[F.get(h, i + j) for j in range(1, m - 1)])
+        return F.least(F.get(h, i), F.get(h, i + m - 1)) <= middle
 
-    return _let(hashes, of)
+    def entries(h: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, nth: F.hash(*[F.get(h, i + j) for j in range(0, m, S)], F.get(at, nth + 1) - i))
 
+    def of(points: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(points) - S), lambda i: F.xxhash64(*[F.get(points, i + j) for j in range(S)]))
+        many = _let(runs, lambda h: _let(F.filter(F.sequence(F.lit(0), F.size(h) - m), lambda i: edge(h, i)), lambda at: F.struct(at.alias("at"), entries(h, at).alias("entry"))))
+        return F.when(F.size(points) >= K, many)
 
-def anchors(text: Column) -> Column:
-    """struct(w, c) of anchor hashes of words and of code points."""
     text = F.coalesce(text, F.lit(""))
-    words = F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda u: u != ""), lambda u: F.xxhash64(u))
-    points = F.slice(F.split(text, ""), F.lit(1), F.length(text))
-    return F.struct(_anchors(words, *WORDS).alias("w"), _anchors(points, *POINTS).alias("c"))
+    found = _let(F.slice(F.split(text, ""), F.lit(1), F.length(text)), of)
+    none = F.array().cast("array<int>")
+    one = F.when(F.length(text) > 0, F.struct(F.array(F.lit(0)).alias("at"), F.array(F.hash(text)).alias("entry"))).otherwise(F.struct(none.alias("at"), none.alias("entry")))
+    # a text of K or more code points may have no anchor either: its whole counts as one
+    return _let(found, lambda x: F.when(F.size(x["at"]) > 0, x).otherwise(one))
 
 
 def fingerprint(found: Column) -> Column:
-    hexed = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), " ")
-    return F.concat(F.lit("w "), hexed(found["w"]), F.lit(" c "), hexed(found["c"]))
+    return F.lower(F.array_join(F.transform(found["entry"], lambda h: F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice share of the distinct code point anchors of two structs of anchors(), 0 to 1."""
-    x, y = a["c"], b["c"]
+    """Dice share of the distinct entries of two structs of anchors(), 0 to 1."""
+    x, y = a["entry"], b["entry"]
     both = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
 
 def _bucketed(df: DataFrame, id_col: str) -> DataFrame:
-    """df with _bucket: ids in order, about BUCKET_ROWS rows each if ids are dense; -1 for a null id."""
-    low, high, n = df.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    width = max(1, int(((high or 0) - (low or 0) + 1) * BUCKET_ROWS // max(n, 1)))
-    return df.withColumn("_bucket", F.coalesce(F.expr(f"(`{id_col}` - {low or 0}) div {width}"), F.lit(-1)).cast("long"))
+    """df with _range and _bucket, both ascending with the id: ranges of about equal counts, cut into buckets of about
+    BUCKET_ROWS rows where the ids of a range are dense.
+
+    The ranges' bounds are quantiles of all ids, so a far-off id widens the buckets of one range alone. Rows without an
+    id have a range of their own, bucketed by their texts' hashes."""
+    quantiles = F.percentile_approx(id_col, [i / RANGES for i in range(RANGES)], 20 * RANGES)
+    low, high, n, cuts = df.agg(F.min(id_col), F.max(id_col), F.count(id_col), quantiles).first()
+    bounds = sorted({low, *(cuts or ())} - {None}) or [0]
+    share = max(1, n // len(bounds) // BUCKET_ROWS)
+    widths = [max(1, -(-(b - a) // share)) for a, b in zip(bounds, [*bounds[1:], (high or 0) + 1])]
+    longs = lambda v: F.lit(v).cast("array<decimal(20,0)>")
+    key = F.col(id_col).cast("decimal(20,0)")
+    range_ = F.size(F.filter(longs(bounds), lambda b: b <= key))
+    inside = F.floor((key - F.element_at(longs(bounds), F.col("_range"))) / F.element_at(longs(widths), F.col("_range"))).cast("long")
+    df = df.withColumn("_range", F.when(F.col(id_col).isNull(), 0).otherwise(range_))
+    return df.withColumn("_bucket", F.when(F.col(id_col).isNull(), F.shiftright(F.xxhash64("text"), 50)).otherwise(inside))
 
 
 def _after(keys: DataFrame) -> DataFrame:
-    """_bucket and the next _bucket that occurs, by two levels of windows; the last one has the first."""
-    super_ = keys.select("_bucket").distinct().withColumn("_super", F.floor(F.col("_bucket") / 1024))
-    inside = super_.withColumn("_next", F.lead("_bucket").over(Window.partitionBy("_super").orderBy("_bucket")))
-    firsts = super_.groupBy("_super").agg(F.min("_bucket").alias("_least"))
-    around = Window.partitionBy(F.lit(0)).orderBy("_super")  # a row for each 1024 buckets of 256 rows
-    heads = firsts.withColumn("_head", F.coalesce(F.lead("_least").over(around), F.min("_least").over(around))).drop("_least")
-    return inside.join(heads, "_super").select("_bucket", F.coalesce("_next", "_head").alias("_next"))
+    """_range, _bucket and the next pair of them that occurs, as _to_range and _to; the last one has the first."""
+    seen = keys.select("_range", "_bucket").distinct()
+    inside = seen.withColumn("_to", F.lead("_bucket").over(Window.partitionBy("_range").orderBy("_bucket")))
+    firsts = seen.groupBy("_range").agg(F.min("_bucket").alias("_least"))
+    around = Window.partitionBy(F.lit(0)).orderBy("_range")  # a row for each range
+    head = F.struct(F.col("_range").alias("r"), F.col("_least").alias("b"))
+    heads = firsts.select("_range", F.coalesce(F.lead(head).over(around), F.min(head).over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_head"))
+    joined = inside.join(heads, "_range")
+    return joined.select("_range", "_bucket", F.when(F.col("_to").isNull(), F.col("_head.r")).otherwise(F.col("_range")).alias("_to_range"), F.coalesce("_to", "_head.b").alias("_to"))
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,13 +105,15 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Each text is shuffled once to its bucket; what a bucket's last row needs, the first row of the following bucket, is
     found from ids alone and joined to it."""
     rows = _bucketed(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), id_col)
-    order = Window.partitionBy("_bucket").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64("text"))
-    ids = stored(rows.groupBy("_bucket").agg(F.min(id_col).alias("_id")))
-    at_head = (rows["_bucket"] == ids["_bucket"]) & rows[id_col].eqNullSafe(ids["_id"])
-    heads = rows.join(ids, at_head, "left_semi").groupBy("_bucket").agg(F.min_by("text", F.struct(F.col(id_col).isNotNull(), F.xxhash64("text"))).alias("_head"))
-    follow = stored(_after(ids).join(heads.withColumnRenamed("_bucket", "_next"), "_next").select("_bucket", "_head"))
+    at = ["_range", "_bucket"]
+    order = Window.partitionBy(*at).orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64("text"))
+    ids = stored(rows.groupBy(*at).agg(F.min(id_col).alias("_id")))
+    at_head = (rows["_range"] == ids["_range"]) & (rows["_bucket"] == ids["_bucket"]) & rows[id_col].eqNullSafe(ids["_id"])
+    heads = rows.join(ids, at_head, "left_semi").groupBy(*at).agg(F.min_by("text", F.xxhash64("text")).alias("_head"))
+    heads = heads.withColumnsRenamed({"_range": "_to_range", "_bucket": "_to"})
+    follow = stored(_after(ids).join(heads, ["_to_range", "_to"]).select(*at, "_head"))
     placed = rows.withColumn("next_text", F.lead("text").over(order))
-    return placed.join(follow, "_bucket").select(id_col, "text", F.coalesce("next_text", "_head").alias("next_text"))
+    return placed.join(follow, at).select(id_col, "text", F.coalesce("next_text", "_head").alias("next_text"))
 
 
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
