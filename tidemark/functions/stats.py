@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import stored
+from ..sources.shared import stored
 
 STATS = ("n_trades", "win_rate_pct", "avg_return_pct", "median_return_pct", "std_return_pct", "profit_factor", "expectancy_pct", "avg_win_pct", "avg_loss_pct", "best_trade_pct", "worst_trade_pct", "skew")
 
