@@ -329,6 +329,26 @@ def test_exact_dedup(spark, docs, odd, empty):
     assert got == brute(rows)
     assert Counter(r.doc_id for r in dedup.deduplicate(odd).collect()) == Counter(t[0] for t in got.elements() if t[3])
     assert dedup.deduplicate(empty).count() == 0
+    # columns of the same names as our own
+    clash = odd.withColumn("_len", F.lit(1)).withColumn("full_hash", F.lit("x")).withColumn("_cell", F.lit(2))
+    assert dedup.exact_groups(clash).count() == odd.count()
+    assert dedup.deduplicate(clash).columns == clash.columns
+
+
+def test_exact_dedup_levels(spark, monkeypatch):
+    """Each level leaves out what is unique already, also with so few cells that keys share them; a hot group is whole."""
+    rows = [(i, "x" * (i % 50) + "y" * (i == 49)) for i in range(50)] + [(100 + i, "a" * 70 + str(i % 10)) for i in range(30)] + [(200, "b" * 70 + "1"), (201, "b" * 70 + "2"), (202, "c" * 500)] + [(300 + i, "hot text") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cells in (1 << 20, 3):
+        monkeypatch.setattr(dedup, "CELLS", cells)
+        got = {r.doc_id: r for r in dedup.exact_groups(df).collect()}
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[t].append(i)
+        assert all((got[i].keep_id, got[i].group_size) == (min(groups[t]), len(groups[t])) for i, t in rows)
+        if cells > 3:
+            # lengths settle these, and a prefix the one as long as the hot text; the rest meets at the full hash
+            assert {i for i, r in got.items() if r.full_hash is None} == {*range(50), 202}
 
 
 def test_deduplicate_decides_by_row(spark):

@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.shared import discard, shared_dir, stored  # noqa: F401
 
 #: Text bytes that one vectorised step handles; bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
+#: A key with more than one row in HOT is hot.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests on one machine), below a folder of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_tidemark_shared", None)
-        if base is None:
-            base = spark._tidemark_shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
-    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
-
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has a row for each key with the number of its rows in `size`.
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Keys that hold more than a HOT-th of all rows, at most HOT of them, are broadcast; their rows are never shuffled. The
+    others meet in a shuffle, where no key is hot. how: inner or left. groups is read several times."""
+    least = F.lit((groups.agg(F.sum(size)).first()[0] or 0) / HOT)
+    hot, cold = groups.where(F.col(size) > least), groups.where(F.col(size) <= least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
