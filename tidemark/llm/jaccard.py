@@ -14,26 +14,28 @@ pairs below bounds derived from set sizes.
 4. Pairs left are verified on the whole sets. Links give components.
 5. Shingles of more than ALL_PAIRS documents that lie in several components take further stars, with other leaders,
    then the product by blocks of documents. Shingles of much the same documents share a bundle, so that a document
-   enters once for all of them. Each task multiplies two blocks of prefixes (dense where many documents share a shingle,
-   by pairs elsewhere), skips pairs already in one component, discards by the same bound, then by counts of the whole
+   enters once for all of them; blocks are of one class of sizes, and meet only blocks of the same class or its
+   neighbours. Each task multiplies two blocks of prefixes (dense where many documents share a shingle, by pairs elsewhere), skips pairs already in one component, discards by the same bound, then by counts of the whole
    sets in SKETCH cells (the overlap is at most the sum of the lesser counts), and hands on the rest to be verified. So
    no link between components is lost, and no group is expanded into all of its pairs.
 
 Two documents link when 100 * |a & b| >= 80 * |a | b|. Words are runs of `[^\\x20\\x09-\\x0D]` with A-Z as a-z; fewer
 than five words are one shingle. Null and empty texts have empty sets and link with nothing; a null id is left out of
 links and stands for itself. Rows that repeat an id are one document, with the set of one of them. Shingles are 64-bit
-hashes. An empty table gives an empty result.
+hashes; ids are whole numbers. An empty table gives an empty result. Tables between steps are deleted once they are read.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, mix, stored, table, text_chunks
+from .common import discard, join_groups, list_array, mix, stored, table, text_chunks
 from .words import shingle_sets
 
 #: The least similarity, as a fraction.
@@ -42,8 +44,8 @@ NUM, DEN = 4, 5
 ALL_PAIRS = 12
 #: Cells of the table of counts, and how many times the mean, FREQUENT at least, a frequent shingle's cell holds.
 CELLS, SLICES, FREQUENT, TIMES = 1 << 20, 16, 48, 4
-#: Bits of the filter that tells a scan which documents are wanted.
-WANTED_BITS = 1 << 22
+#: Bits of the filter that tells a scan which documents are wanted: eight for each document, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 BLOCK = 1024
 STARS = 2
 #: Cells of a document's sketch, and how many pairs have theirs compared in one step.
@@ -62,9 +64,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shape, fields: str, wante
     def run(batches):
         for batch in batches:
             if wanted is not None:
-                ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                k = _place(ids)
-                batch = batch.filter(pa.array((wanted[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1))
+                batch = _wanted(batch, wanted)
             for lo, hi, data, offs in text_chunks(batch.column(1)):
                 cols = shape(batch.column(0)[lo:hi], shingle_sets(data, offs))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -76,27 +76,51 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _place(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) & np.uint64(WANTED_BITS - 1)).astype(np.int64)
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _wanted(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id, the first column, the filter holds."""
+    ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    k = _place(ids, len(wanted) * 64)
+    return batch.filter(pa.array((wanted[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A filter of WANTED_BITS bits that holds all ids: what reaches the driver is as small whatever their number."""
+    """A filter that holds all ids, of MOST_BITS bits at most: what reaches the driver is bounded whatever their number.
+
+    It may let other ids through, all of them where there are far more ids than bits; joins by id follow everywhere."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * ids.count()).bit_length()))
 
     def run(batches):
-        bits = np.zeros(WANTED_BITS // 64, np.uint64)
+        held = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            k = _place(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            np.bitwise_or.at(bits, k >> 6, np.uint64(1) << (k & 63).astype(np.uint64))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(_signed(bits[at]))], names=["w", "bits"])
+            k = _place(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            np.bitwise_or.at(held, k >> 6, np.uint64(1) << (k & 63).astype(np.uint64))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(_signed(held[at]))], names=["w", "bits"])
 
     got = ids.select("id").mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(WANTED_BITS // 64, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     out[got["w"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def _only(lists: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """The rows of lists (id first) whose id the filter holds, told before any shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            yield _wanted(batch, wanted)
+
+    return lists.mapInArrow(run, lists.schema)
+
+
 def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n and two sums that tell the set; and, with a null n, the task's table of counts of shingles in (longer)
     prefixes by value, in slices."""
@@ -115,7 +139,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *sigs, none(k, pa.int32()), none(k, pa.int32()), none(k, pa.binary())], names=names)
         if cells.any():
             salt = int(mix(cells.view(np.uint64)).sum() & np.uint64(255))
-            parts = [x.astype("<u4").tobytes() for x in cells.reshape(SLICES, -1)]
+            parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in cells.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([none(SLICES, pa.int64())] * 4 + [pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(parts)], names=names)
 
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, "id long, n long, sig1 long, sig2 long, slice int, salt int, counts binary")
@@ -125,36 +149,44 @@ def frequent_cells(told: DataFrame) -> np.ndarray:
     """Cells of frequent shingles, as bits in 64-bit words. Tables of counts are added in two levels, salted first."""
 
     def add(key, t):
-        total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in t["counts"])
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) for x in t["counts"])
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)]})
 
     parts = told.where("n IS NULL AND counts IS NOT NULL").select("slice", "salt", "counts")
     parts = parts.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     cells = np.zeros(CELLS, np.int64)
     for r in parts.collect():  # SLICES rows
-        cells[r["slice"] * (CELLS // SLICES) :][: CELLS // SLICES] = np.frombuffer(r["counts"], "<u4")
+        cells[r["slice"] * (CELLS // SLICES) :][: CELLS // SLICES] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
     many = cells > max(FREQUENT, TIMES * cells.mean())
     return np.packbits(many, bitorder="little").view(np.uint64)
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """id, n, the sketch and the prefix, in order: shingles in other cells by value, then those in frequent cells by value."""
+    """id, n and the prefix, in order: shingles in other cells by value, then those in frequent cells by value."""
     some = bool(frequent.any())
 
     def shape(ids, sets):
-        out, told = [], []
+        out = []
         for s in sets:
             p = prefix_size(len(s)) if len(s) else 0
-            told.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes())
             if some and len(s):
                 a = (s & np.uint64(CELLS - 1)).astype(np.int64)
                 hot = (frequent[a >> 6] >> (a & 63).astype(np.uint64)) & np.uint64(1)
                 if hot[:p].any():
                     s = s[np.argsort(hot, kind="stable")]
             out.append(s[:p])
-        return {"id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(told, pa.binary()), "prefix": list_array(_signed(np.concatenate([*out, np.zeros(0, np.uint64)])), np.array([len(x) for x in out]))}
+        return {"id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "prefix": list_array(_signed(np.concatenate([*out, np.zeros(0, np.uint64)])), np.array([len(x) for x in out]))}
+
+    return _sets(docs, id_col, text_col, shape, "id long, n long, prefix array<long>")
+
 
-    return _sets(docs, id_col, text_col, shape, "id long, n long, sketch binary, prefix array<long>")
+def _sketch(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> DataFrame:
+    """id and sketch of the whole sets of the wanted documents."""
+    return _sets(docs, id_col, text_col, lambda ids, sets: {"id": ids.cast(pa.int64()), "sketch": pa.array([_sketch(s) for s in sets], pa.binary())}, "id long, sketch binary", wanted).dropDuplicates(["id"])
 
 
 def _could_link(c, na, nb):
@@ -244,15 +276,16 @@ def _matched(pairs: DataFrame, lists: DataFrame, column: str, keep) -> DataFrame
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that link, by their whole sets, which are taken from the texts again: of these documents alone."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """The pairs that link, by their whole sets, which are taken from the texts again: of these documents alone. Stored."""
     shape = lambda i, sets: {"id": i.cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "s": list_array(_signed(np.concatenate([*sets, np.zeros(0, np.uint64)])), np.array([len(x) for x in sets]))}
-    sets = stored(_sets(docs, id_col, text_col, shape, "id long, n long, s array<long>", id_filter(ids)).dropDuplicates(["id"]))
-    return _matched(pairs, sets, "s", lambda c, na, nb: DEN * c >= NUM * (na + nb - c))
+    sets = stored(_sets(docs, id_col, text_col, shape, "id long, n long, s array<long>", id_filter(_ids(pairs))).dropDuplicates(["id"]))
+    out = stored(_matched(pairs, sets, "s", lambda c, na, nb: DEN * c >= NUM * (na + nb - c)))
+    discard(sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and the smallest id reachable, of ids in edges (a, b), by alternating large-star and small-star steps.
+    """id and the smallest id reachable, of ids in edges (a, b), by alternating large-star and small-star steps. Stored.
 
     Every step is a grouping that combines on the map side and a join back; it ends when a round changes nothing."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -264,10 +297,13 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("u > v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small)
+        before, now = now, stored(small)
+        discard(before)
         sum_ = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(sum_) == told:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out = now.withColumnsRenamed({"u": "id", "v": "root"})
+            out._tidemark_path = now._tidemark_path
+            return out
         told = tuple(sum_)
 
 
@@ -303,10 +339,10 @@ def _product(ta: np.ndarray, tb: np.ndarray, oa: np.ndarray, ob: np.ndarray, na:
 def bundled(members: DataFrame) -> DataFrame:
     """members (s, id, n, root) with shingles of much the same documents as one: s is the document of least hash of its members.
 
-    Documents that share a shingle share its bundle; size is the number of members of that."""
-    least = members.groupBy("s").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("l")).select("s", F.col("l.id").alias("g"))
-    rows = members.join(least, "s").select(F.col("g").alias("s"), "id", "n", "root").distinct()
-    return rows.join(rows.groupBy("s").agg(F.count(F.lit(1)).alias("size")), "s")
+    Documents that share a shingle share its bundle. Members of a bundle have a step, a class of sizes: only those of the
+    same step or of neighbouring ones can link."""
+    least = stored(members.groupBy("s").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("l")).select("s", F.col("l.id").alias("g")))
+    return members.join(least, "s").select(F.col("g").alias("s"), "id", "n", "root").distinct().withColumn("step", _step())
 
 
 def _sketches_allow(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -315,24 +351,30 @@ def _sketches_allow(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarr
     return (least.sum(1, dtype=np.int32) >= asked) | (least.max(1) == 255)
 
 
-def block_product(members: DataFrame) -> DataFrame:
+def block_product(members: DataFrame, lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents of different components that share a shingle of a prefix and pass the bounds.
 
-    members: s, id, n, root, prefix, sketch, and size, the number of members of s. Members fall into blocks of about
-    BLOCK; a task multiplies two blocks. Of a pair with several s in common, each may hand it on."""
-    side = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("long")
-    rows = members.withColumn("k", side).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root", "prefix", "sketch")
+    members: s, id, n, root and step, stored. lists: id, prefix and sketch. The members of a step of s fall into blocks
+    of about BLOCK; a task multiplies two blocks of one step, or of neighbouring ones. Of a pair with several s in
+    common, each may hand it on."""
+    sizes = members.groupBy("s", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("k"))
+    blocks = stored(sizes.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("step", "k"))).alias("k")))  # a step for each factor of DEN / NUM in size
+    rows = members.join(blocks, "s").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")[F.col("step")]))
+    own, step = F.col("own"), F.col("step")
+    others = lambda at: F.when(F.col("k")[at].isNull(), F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("k")[at], F.lit(1)) - 1))
+    task = lambda low, high, i, j, left: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), left.alias("left"))
+    same = F.transform(others(step), lambda o: task(step, step, F.least(own, o), F.greatest(own, o), own <= o))
+    above = F.transform(others(step + 1), lambda o: task(step, step + 1, own, o, F.lit(True)))
+    below = F.transform(others(step - 1), lambda o: task(step - 1, step, o, own, F.lit(False)))
+    rows = rows.select("s", "id", "n", "root", F.explode(F.concat(same, above, below)).alias("t")).select("s", "t.*", "id", "n", "root").join(lists, "id")
 
     def run(t: pa.Table) -> pa.Table:
-        i, own = t["i"][0].as_py(), t["own"].to_numpy()
-        diagonal = i == t["j"][0].as_py()
+        diagonal = t["low"][0] == t["high"][0] and t["i"][0] == t["j"][0]
         ids, n, root = (t[c].to_numpy() for c in ("id", "n", "root"))
-        lists = t["prefix"].combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), size)
-        left = own == i
+        prefix = t["prefix"].combine_chunks()
+        size = np.diff(prefix.offsets.to_numpy())
+        flat, of = prefix.flatten().to_numpy(), np.repeat(np.arange(len(ids)), size)
+        left = t["left"].to_numpy(zero_copy_only=False).astype(bool)
         right = left if diagonal else ~left
         place = np.zeros(len(ids), np.int64)
         place[left] = np.arange(left.sum())
@@ -353,38 +395,55 @@ def block_product(members: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("s", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("s", "low", "high", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of each document."""
     told = stored(summaries(docs, id_col, text_col))
     rows = told.where("n IS NOT NULL").select("id", "n", "sig1", "sig2")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep"))
-    member = stored(rows.join(classes, ["n", "sig1", "sig2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    same = ["n", "sig1", "sig2"]
+    classes = stored(rows.where("n > 0 AND id IS NOT NULL").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
+    member = stored(join_groups(rows, classes, same, "size", "left").select("id", "n", rep.alias("rep")))
+    frequent = frequent_cells(told)
+    discard(told, classes)
     reps = member.where("n > 0 AND id = rep").select("id").distinct()
-    incident = stored(prefixes(docs, frequent_cells(told), id_col, text_col).join(reps, "id", "left_semi").dropDuplicates(["id"]))
+    incident = stored(prefixes(docs, frequent, id_col, text_col).join(reps, "id", "left_semi").dropDuplicates(["id"]))
     incidence = incident.select(F.explode("prefix").alias("s"), "id", "n").repartition("s").sortWithinPartitions("s", "n", "id")
     found = stored(short_and_long(incidence))
 
     counted = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    short = counted.where(_bound_sql()).select("a", "b")
+    short = stored(counted.where(_bound_sql()).select("a", "b"))
     long = stored(found.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("id"), F.col("nb").alias("n")))
-    stars = lambda members, turn: _matched(_stars(members, turn), incident, "prefix", _could_link)
-    pairs = stored(short.unionByName(stars(long.withColumn("root", F.col("id")), 0)).distinct())
-    links = stored(verified(pairs, docs, id_col, text_col))
+    discard(found)
+    pairs = stored(short.unionByName(_star_pairs(long.withColumn("root", F.col("id")), 0, incident)).distinct())
+    discard(short)
+    links = verified(pairs, docs, id_col, text_col)
     roots = components(links)
+    discard(links)
     for turn in range(1, STARS + 2):
-        open_ = stored(_unsettled(long, roots))
+        open_ = _unsettled(long, roots)
         if open_.isEmpty():
             break
-        more = stars(open_, turn) if turn <= STARS else block_product(bundled(open_).join(incident.select("id", "prefix", "sketch"), "id"))
+        if turn <= STARS:
+            more = _star_pairs(open_, turn, incident)
+        else:
+            members = stored(bundled(open_))
+            wanted = id_filter(members.select("id").distinct())
+            lists = stored(_only(incident.select("id", "prefix"), wanted).join(sketches(docs, id_col, text_col, wanted), "id"))
+            more = block_product(members, lists)
         more = stored(more.join(pairs, ["a", "b"], "left_anti"))
+        discard(open_)
         if more.isEmpty():
             continue
-        pairs = pairs.unionByName(more)
+        known = stored(pairs.unionByName(more))
         new = verified(more, docs, id_col, text_col)
+        discard(pairs, more)
+        pairs, before = known, roots
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(new))
+        discard(before, new)
+    discard(incident, long, pairs)
     out = member.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
@@ -398,25 +457,37 @@ def _bound_sql():
     return c + F.least(least - c, F.greatest(na - size(na), nb - size(nb))) >= asked
 
 
+def _step(shift: float = 0.0):
+    """The class of sizes of column n: sizes that can link are of the same class or of neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM))) + F.lit(shift)).cast("int")
+
+
 def _stars(members: DataFrame, turn: int) -> DataFrame:
     """Pairs of each long shingle's leader and its members of other components and like size.
 
     Leaders differ by size class, so that each is as large as what it leads, and by turn. The leader is found by a
     grouping that combines on the map side."""
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM))) + F.lit(0.5 * (turn % 2))).cast("int")
-    rows = members.withColumn("step", step).withColumn("r", F.xxhash64("id", F.lit(turn)))
+    rows = members.withColumn("step", _step(0.5 * (turn % 2))).withColumn("r", F.xxhash64("id", F.lit(turn)))
     leaders = rows.groupBy("s", "step").agg(F.min_by(F.struct("id", "n", "root"), F.struct("r", "id")).alias("l"))
     # a leader also meets the next class, whose sizes may be alike
-    leaders = leaders.select("s", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"), "l")
+    leaders = stored(leaders.select("s", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"), "l"))
     met = rows.join(leaders, ["s", "step"]).where(f"id <> l.id AND root <> l.root AND {DEN} * least(n, l.n) >= {NUM} * greatest(n, l.n)")
     return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
 
 
+def _star_pairs(members: DataFrame, turn: int, incident: DataFrame) -> DataFrame:
+    """The pairs of _stars() that the common shingles of their prefixes leave a chance."""
+    met = stored(_stars(members, turn))
+    return _matched(met, _only(incident, id_filter(_ids(met))), "prefix", _could_link)
+
+
 def _unsettled(long: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (s, id, n, root, size) of the long shingles that lie in several components."""
-    rows = long.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    many = rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("s", "size")
-    return rows.join(many, "s").select("s", "id", "n", "root", "size")
+    """Members (s, id, n, root) of the long shingles that lie in several components. Stored."""
+    rows = stored(long.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    many = stored(rows.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("s"))
+    out = stored(rows.join(many, "s", "left_semi").select("s", "id", "n", "root"))
+    discard(rows, many)
+    return out
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
