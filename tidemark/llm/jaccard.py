@@ -5,8 +5,9 @@ pairs below bounds derived from set sizes.
 
 1. Documents with equal sets become one class, represented by its smallest id; only representatives go on.
 2. Two sets with Jaccard >= t and sizes n share one of the first n - ceil(t n) + 1 shingles of each (its prefix) in any
-   order that all sets use. The order puts frequent shingles (told by a table of counts of fixed size, so that the order
-   is a function of the shingle) behind the others; it decides how fast the join is, not what it finds.
+   order that all sets use. The order puts frequent shingles (told by a table of counts that grows with the corpus up to
+   MOST_CELLS cells, so that the order is a function of the shingle) behind the others; it decides how fast the join is,
+   not what it finds.
 3. Prefix incidences are dealt by shingle. A shingle of up to ALL_PAIRS documents gives its pairs; counts of a pair add
    up over shingles, and a pair whose count, plus all that could follow behind the prefixes, can't reach the overlap
    that the sizes ask for is discarded. A shingle of more documents gives stars: pairs of a leader and each other one.
@@ -42,8 +43,12 @@ from .words import shingle_sets
 NUM, DEN = 4, 5
 #: Shingles of more documents give stars instead of all pairs.
 ALL_PAIRS = 12
-#: Cells of the table of counts, and how many times the mean, FREQUENT at least, a frequent shingle's cell holds.
-CELLS, SLICES, FREQUENT, TIMES = 1 << 20, 16, 48, 4
+#: Cells of the table of counts: one for SHARE counted shingles, within these bounds. It is kept in SLICES.
+SHARE, LEAST_CELLS, MOST_CELLS, SLICES = 8, 1 << 16, 1 << 27, 64
+#: A shingle is frequent if its cell holds more than so many, and more than TIMES the mean.
+FREQUENT, TIMES = 24, 4
+#: Counted shingles that a task holds before it tells them, and that a group of such rows adds up.
+HELD, ADDED = 1 << 23, 1 << 25
 #: Bits of the filter that tells a scan which documents are wanted: eight for each document, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 BLOCK = 1024
@@ -121,57 +126,102 @@ def _only(lists: DataFrame, wanted: np.ndarray) -> DataFrame:
     return lists.mapInArrow(run, lists.schema)
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Ascending cells with repeats, as compressed differences."""
+    return zlib.compress(np.diff(cells, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<u4"), dtype=np.int64)
+
+
 def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n and two sums that tell the set; and, with a null n, the task's table of counts of shingles in (longer)
-    prefixes by value, in slices."""
+    """id, n and two sums that tell the set; and, with a null id, cells of the shingles in twice the prefixes by value.
+
+    Of those rows, slice is the lowest bits of the cells, n how many, counts the other bits."""
 
     def run(batches):
-        cells = np.zeros(CELLS, np.int64)
         none = lambda k, kind: pa.nulls(k, kind)
-        names = ["id", "n", "sig1", "sig2", "slice", "salt", "counts"]
+        names = ["id", "n", "sig1", "sig2", "slice", "counts"]
+        held: list[np.ndarray] = []
+
+        def told():
+            cells = np.concatenate([*held, np.zeros(0, np.uint32)])
+            cells = np.sort((cells % SLICES) * np.uint32(MOST_CELLS // SLICES) + cells // SLICES)
+            parts = np.split(cells, np.searchsorted(cells, np.arange(1, SLICES) * (MOST_CELLS // SLICES)))
+            rows = [(k, len(x), _packed(x - np.uint32(k * (MOST_CELLS // SLICES)))) for k, x in enumerate(parts) if len(x)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([none(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *[none(len(rows), pa.int64())] * 2, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=names)
+
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column(1)):
                 sets = shingle_sets(data, offs)
-                wide = [s[: (3 * prefix_size(len(s))) // 2 + 4] for s in sets]
-                cells += np.bincount((np.concatenate([*wide, np.zeros(0, np.uint64)]) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                wide = np.concatenate([*(s[: 2 * prefix_size(len(s)) + 4] for s in sets), np.zeros(0, np.uint64)])
+                held.append((wide & np.uint64(MOST_CELLS - 1)).astype(np.uint32))
                 k = hi - lo
                 sigs = [pa.array([int(_signed(mix(s ^ np.uint64(x))).sum()) for s in sets], pa.int64()) for x in (0, 0x5851F42D4C957F2D)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *sigs, none(k, pa.int32()), none(k, pa.int32()), none(k, pa.binary())], names=names)
-        if cells.any():
-            salt = int(mix(cells.view(np.uint64)).sum() & np.uint64(255))
-            parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in cells.reshape(SLICES, -1)]
-            yield pa.RecordBatch.from_arrays([none(SLICES, pa.int64())] * 4 + [pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(parts)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *sigs, none(k, pa.int32()), none(k, pa.binary())], names=names)
+                if sum(map(len, held)) > HELD:
+                    yield told()
+        if held:
+            yield told()
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, "id long, n long, sig1 long, sig2 long, slice int, salt int, counts binary")
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, "id long, n long, sig1 long, sig2 long, slice int, counts binary")
 
 
 def frequent_cells(told: DataFrame) -> np.ndarray:
-    """Cells of frequent shingles, as bits in 64-bit words. Tables of counts are added in two levels, salted first."""
+    """Bits that tell the cells of frequent shingles, slice by slice, in 64-bit words: at most MOST_CELLS bits.
+
+    Rows of cells are added up in groups of about ADDED shingles, the tables of these in groups of 16 until there is one."""
+    parts = told.where("slice IS NOT NULL").select("slice", "n", "counts")
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (total // SHARE).bit_length()))
+    each = cells // SLICES
+    most = max(FREQUENT, TIMES * total / cells)
+    groups = max(1, total // SLICES // ADDED)
+
+    def start(key, t):
+        n = np.zeros(each, np.int64)
+        for x in t["counts"]:
+            n += np.bincount(_unpacked(x.as_py()) & (each - 1), minlength=each)
+        return out(key, n)
 
     def add(key, t):
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) for x in t["counts"])
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [zlib.compress(np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes(), 1)]})
+        return out(key, sum(np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) for x in t["counts"]))
+
+    def out(key, n):
+        raw = zlib.compress(np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes(), 1)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([raw], pa.binary())})
+
+    def bits(batches):
+        for batch in batches:
+            raw = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u4") > most, bitorder="little").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["slice", "bits"])
 
-    parts = told.where("n IS NULL AND counts IS NOT NULL").select("slice", "salt", "counts")
-    parts = parts.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    cells = np.zeros(CELLS, np.int64)
-    for r in parts.collect():  # SLICES rows
-        cells[r["slice"] * (CELLS // SLICES) :][: CELLS // SLICES] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
-    many = cells > max(FREQUENT, TIMES * cells.mean())
-    return np.packbits(many, bitorder="little").view(np.uint64)
+    kind = "slice int, g long, counts binary"
+    sums = parts.withColumn("g", F.pmod(F.xxhash64("counts"), F.lit(groups))).groupBy("slice", "g").applyInArrow(start, kind)
+    while groups > 1:
+        groups = -(-groups // 16)
+        sums = sums.withColumn("g", F.pmod("g", F.lit(groups))).groupBy("slice", "g").applyInArrow(add, kind)
+    found = np.zeros((SLICES, each // 64), np.uint64)
+    for r in sums.select("slice", "counts").mapInArrow(bits, "slice int, bits binary").collect():  # SLICES rows
+        found[r["slice"]] = np.frombuffer(r["bits"], np.uint64)
+    return found
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """id, n and the prefix, in order: shingles in other cells by value, then those in frequent cells by value."""
     some = bool(frequent.any())
+    each = frequent.shape[1] * 64
 
     def shape(ids, sets):
         out = []
         for s in sets:
             p = prefix_size(len(s)) if len(s) else 0
             if some and len(s):
-                a = (s & np.uint64(CELLS - 1)).astype(np.int64)
-                hot = (frequent[a >> 6] >> (a & 63).astype(np.uint64)) & np.uint64(1)
+                a = (s & np.uint64(MOST_CELLS - 1)).astype(np.int64)
+                inside = a // SLICES & (each - 1)
+                hot = (frequent[a % SLICES, inside >> 6] >> (inside & 63).astype(np.uint64)) & np.uint64(1)
                 if hot[:p].any():
                     s = s[np.argsort(hot, kind="stable")]
             out.append(s[:p])
@@ -339,10 +389,12 @@ def _product(ta: np.ndarray, tb: np.ndarray, oa: np.ndarray, ob: np.ndarray, na:
 def bundled(members: DataFrame) -> DataFrame:
     """members (s, id, n, root) with shingles of much the same documents as one: s is the document of least hash of its members.
 
-    Documents that share a shingle share its bundle. Members of a bundle have a step, a class of sizes: only those of the
-    same step or of neighbouring ones can link."""
+    Documents that share a shingle share its bundle. Members of a bundle of more than a block have a step, a class of
+    sizes: only those of the same step or of neighbouring ones can link."""
     least = stored(members.groupBy("s").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("l")).select("s", F.col("l.id").alias("g")))
-    return members.join(least, "s").select(F.col("g").alias("s"), "id", "n", "root").distinct().withColumn("step", _step())
+    rows = stored(members.join(least, "s").select(F.col("g").alias("s"), "id", "n", "root").distinct())
+    sizes = stored(rows.groupBy("s").agg(F.count(F.lit(1)).alias("size")))
+    return rows.join(sizes, "s").select("s", "id", "n", "root", F.when(F.col("size") > BLOCK, _step()).otherwise(0).alias("step"))
 
 
 def _sketches_allow(a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -401,7 +453,7 @@ def block_product(members: DataFrame, lists: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of each document."""
     told = stored(summaries(docs, id_col, text_col))
-    rows = told.where("n IS NOT NULL").select("id", "n", "sig1", "sig2")
+    rows = told.where("slice IS NULL").select("id", "n", "sig1", "sig2")
     same = ["n", "sig1", "sig2"]
     classes = stored(rows.where("n > 0 AND id IS NOT NULL").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
