@@ -159,7 +159,7 @@ def closed_syncmers(text, k=syncmers.K, s=syncmers.S):
     if not at:
         return [0], [murmur3([text])]
     gaps = [(b - a,) for a, b in zip(at, at[1:])] + [None]
-    return at, [murmur3([runs[j] for j in range(i, i + k - s + 1, s)] + [g]) for i, g in zip(at, gaps)]
+    return at, [murmur3([(murmur3([runs[j] for j in range(i, i + k - s + 1, s)]),), g]) for i, g in zip(at, gaps)]
 
 
 def dice(a, b):
@@ -208,8 +208,8 @@ def test_syncmers_order_of_ids(spark, tmp_path, monkeypatch):
     rows = syncmers.op3_syncmers(spark, folder(spark.createDataFrame(nulls, "doc_id long, text string"), tmp_path / "b")).collect()
     assert len(rows) == 10
     t = texts[100]
-    r = spark.createDataFrame([(t,)], "t string").select(syncmers.anchors(F.col("t")).alias("a")).first().a
-    assert (r["at"], [x & 0xFFFFFFFF for x in r.entry]) == tuple(closed_syncmers(t))
+    r = spark.createDataFrame([(t,)], "t string").select(syncmers.anchors(F.col("t"))["at"].alias("at"), syncmers.entries(F.col("t"), syncmers.anchors(F.col("t"))).alias("e")).first()
+    assert (r["at"], [x & 0xFFFFFFFF for x in r.e]) == tuple(closed_syncmers(t))
 
 
 def test_syncmers_without_spaces(spark):
@@ -225,7 +225,7 @@ def test_syncmers_without_spaces(spark):
     t = text(1010, 0x4E00, 3000)
     pairs.append((t, t[:990]))
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string").orderBy("i")
-    like = [r.x for r in df.select("i", syncmers.likeness(syncmers.anchors(df["a"]), syncmers.anchors(df["b"])).alias("x")).orderBy("i").collect()]
+    like = [r.x for r in df.select("i", syncmers.likeness(*(syncmers.entries(df[c], syncmers.anchors(df[c])) for c in "ab")).alias("x")).orderBy("i").collect()]
     assert all(0.35 < x < 0.65 for x in like[:-1:2]) and max(like[1:-1:2]) < 0.05 and like[-1] > 0.9, like
 
 

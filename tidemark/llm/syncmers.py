@@ -34,36 +34,48 @@ def _let(value: Column, body) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """struct(at, entry) of arrays: places of the anchors, and the hash of each with the distance to the next."""
+    """struct(at, key) of arrays: places of the anchors, ascending, and their hashes."""
     m = K - S + 1
 
     def edge(h: Column, i: Column) -> Column:
         middle = F.least(*[F.get(h, i + j) for j in range(1, m - 1)])
         return F.least(F.get(h, i), F.get(h, i + m - 1)) <= middle
 
-    def entries(h: Column, at: Column) -> Column:
-        return F.transform(at, lambda i, nth: F.hash(*[F.get(h, i + j) for j in range(0, m, S)], F.get(at, nth + 1) - i))
-
     def of(points: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(points) - S), lambda i: F.xxhash64(*[F.get(points, i + j) for j in range(S)]))
-        many = _let(runs, lambda h: _let(F.filter(F.sequence(F.lit(0), F.size(h) - m), lambda i: edge(h, i)), lambda at: F.struct(at.alias("at"), entries(h, at).alias("entry"))))
-        return F.when(F.size(points) >= K, many)
+        key = lambda h, at: F.transform(at, lambda i: F.hash(*[F.get(h, i + j) for j in range(0, m, S)]))
+        many = _let(runs, lambda h: _let(F.filter(F.sequence(F.lit(0), F.size(h) - m), lambda i: edge(h, i)), lambda at: F.struct(at.alias("at"), key(h, at).alias("key"))))
+        return F.when(F.size(points) >= K, many).otherwise(F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<int>").alias("key")))
+
+    return _let(F.slice(F.split(text, ""), F.lit(1), F.length(text)), of)
+
+
+def spliced(text: Column, found: Column, cut: Column, other: Column, found_other: Column, length: Column) -> Column:
+    """anchors() of the first `cut` code points of text, followed by the first `length` of other, from those of both.
 
-    text = F.coalesce(text, F.lit(""))
-    found = _let(F.slice(F.split(text, ""), F.lit(1), F.length(text)), of)
-    none = F.array().cast("array<int>")
-    one = F.when(F.length(text) > 0, F.struct(F.array(F.lit(0)).alias("at"), F.array(F.hash(text)).alias("entry"))).otherwise(F.struct(none.alias("at"), none.alias("entry")))
-    # a text of K or more code points may have no anchor either: its whole counts as one
-    return _let(found, lambda x: F.when(F.size(x["at"]) > 0, x).otherwise(one))
+    Anchors depend on their own code points alone, so only the windows across the cut are looked at anew."""
+    first = F.greatest(F.lit(0), cut - (K - 1))
+    across = anchors(F.concat(F.substring(text, first + 1, cut - first), F.substring(other, F.lit(1), F.least(length, F.lit(K - 1)))))
+    upto = lambda x, end: F.size(F.filter(x["at"], lambda i: i + K <= end))
+    some = lambda x, n: F.struct(F.slice(x["at"], F.lit(1), n).alias("at"), F.slice(x["key"], F.lit(1), n).alias("key"))
+    moved = lambda x, by: F.transform(x["at"], lambda i: i + by)
+    parts = F.struct(some(found, upto(found, cut)).alias("l"), across.alias("m"), some(found_other, upto(found_other, length)).alias("r"))
+    return _let(parts, lambda p: F.struct(F.concat(p["l"]["at"], moved(p["m"], first), moved(p["r"], cut)).alias("at"), F.concat(p["l"]["key"], p["m"]["key"], p["r"]["key"]).alias("key")))
 
 
-def fingerprint(found: Column) -> Column:
-    return F.lower(F.array_join(F.transform(found["entry"], lambda h: F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), " "))
+def entries(text: Column, found: Column) -> Column:
+    """The hash of each anchor with the distance to the next one; of a text without an anchor, that of the whole."""
+    whole = F.when(F.length(text) > 0, F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))
+    bound = lambda x: F.transform(x["at"], lambda i, nth: F.hash(F.get(x["key"], nth), F.get(x["at"], nth + 1) - i))
+    return _let(found, lambda x: F.when(F.size(x["at"]) > 0, bound(x)).otherwise(whole))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice share of the distinct entries of two structs of anchors(), 0 to 1."""
-    x, y = a["entry"], b["entry"]
+def fingerprint(entry: Column) -> Column:
+    return F.lower(F.array_join(F.transform(entry, lambda h: F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), " "))
+
+
+def likeness(x: Column, y: Column) -> Column:
+    """Dice share of the distinct entries of two arrays of entries(), 0 to 1."""
     both = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
@@ -121,8 +133,12 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    own = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    own = own.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("a"), anchors(F.col("edited")).alias("e"), anchors(F.col("next_text")).alias("x"))
+    cut, length = n - half, F.least(half, F.length("next_text"))
+    found = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"), cut.alias("cut"), length.alias("length"), anchors(F.col("text")).alias("a"), anchors(F.col("next_text")).alias("x"))
+    both = spliced(F.col("text"), F.col("a"), F.col("cut"), F.col("next_text"), F.col("x"), F.col("length"))
+    own = found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), entries(F.col("text"), F.col("a")).alias("a"), entries(F.col("edited"), both).alias("e"), entries(F.col("next_text"), F.col("x")).alias("x"),
+    )
     return own.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"),
