@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -196,6 +197,46 @@ def test_fold_rules(spark):
         bt.run_backtests(feats, calendar, scenarios={"x": {"exit_rule": "HOPE"}}).count()
 
 
+def test_backtest_streams(spark):
+    """Dates that part over batches, missing bars of held symbols, and many symbols for few slots give one book."""
+    rng = np.random.default_rng(7)
+    days = business_days("2021-01-01", 60)
+    frames = []
+    for k in range(12):
+        close = (100 * np.exp(np.cumsum(rng.normal(0, 0.03, 60)))).round(2).tolist()
+        frames.append(bars_of(spark, f"S{k:02}", days, close, low=[x * 0.97 for x in close], high=[x * 1.03 for x in close]))
+    bars = reduce(lambda a, b: a.unionByName(b), frames).where("NOT (symbol = 'S03' AND dayofmonth(session_date) = 12)")
+    feats, calendar, _ = fold_input(bars, 1, 90, days)
+    feats = feats.withColumn("Any_Entry_Triggered", F.pmod(F.xxhash64("symbol", "session_date"), F.lit(5)) == 0).withColumn("Swing_Low_Stop", F.col("close") * 0.95)
+    scenarios = {"a": {"max_concurrent_positions": 4}, "b": {"exit_rule": "FIXED_HORIZON", "fixed_horizon_days": 5, "execution_model": "next_close", "max_position_pct_of_equity": 10.0}, "c": {"execution_model": "same_close"}}
+    found = []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        result = bt.run_backtests(feats, calendar, scenarios=scenarios)
+        found.append(sorted(map(str, result.drop("cash", "equity", "positions_value").collect())))
+        for name in scenarios:
+            curve = bt.equity(result).where(F.col("scenario") == name).orderBy("session_date").collect()
+            made = bt.trades(result).where(F.col("scenario") == name).agg(F.sum("net_pnl")).first()[0] or 0.0
+            assert math.isclose(curve[-1].equity, 1e6 + made) and min(r.cash for r in curve) >= -1e-6 and curve[-1].open_positions == 0
+            assert name != "a" or max(r.open_positions + r.pending_orders for r in curve) == 4
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and len(found[0]) > 200
+
+
+def test_resolution_by_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 7, 8, 33):
+        x = rng.normal(0, 1, n)
+        x[rng.random(n) < 0.1] = np.nan
+        start, limit = rng.integers(0, n + 1, 50), rng.normal(-0.5, 1, 50)
+        want = [next((j for j in range(a, n) if x[j] <= y), n) for a, y in zip(start, limit)]
+        assert bt.first_at_or_below(x, start, limit).tolist() == want
+        first, last = rng.integers(0, n, 50), rng.integers(0, n, 50)
+        got = bt.best_between(x, first, last, np.fmax)
+        want = [np.nan if a > b or np.isnan(x[a : b + 1]).all() else np.nanmax(x[a : b + 1]) for a, b in zip(first, last)]
+        assert np.array_equal(got, want, equal_nan=True)
+
+
 def test_sizes_and_costs(spark):
     one = spark.range(1).select(costs.position_size(F.lit(1e6), F.lit(100.0), F.lit(95.0)).alias("a"), costs.position_size(F.lit(1e6), F.lit(100.0), F.lit(100.0)).alias("b"), costs.position_size(F.lit(1e6), F.lit(100.0), F.lit(99.0), side="SHORT").alias("c"), costs.position_size(F.lit(10.0), F.lit(100.0), F.lit(50.0)).alias("d")).first()
     assert tuple(one.a) == (1000, "ok") and one.b.reason == one.c.reason == "invalid_risk_geometry" and one.d.reason == "below_min_qty"
