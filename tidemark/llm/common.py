@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import discard, shared_dir, stored  # noqa: F401
 
 #: Text bytes that one vectorised step handles; bounds the memory of a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: A key with more than one row in HOT is hot.
 HOT = 1000
 

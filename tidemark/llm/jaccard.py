@@ -483,7 +483,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             members = stored(bundled(open_))
             wanted = id_filter(members.select("id").distinct())
-            lists = stored(_only(incident.select("id", "prefix"), wanted).join(sketches(docs, id_col, text_col, wanted), "id"))
+            some = stored(_only(incident.select("id", "prefix"), wanted))
+            lists = stored(some.join(sketches(docs, id_col, text_col, wanted), "id"))
+            discard(some)
             more = block_product(members, lists)
         more = stored(more.join(pairs, ["a", "b"], "left_anti"))
         discard(open_)
@@ -528,9 +530,12 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _star_pairs(members: DataFrame, turn: int, incident: DataFrame) -> DataFrame:
-    """The pairs of _stars() that the common shingles of their prefixes leave a chance."""
+    """The pairs of _stars() that the common shingles of their prefixes leave a chance. Stored."""
     met = stored(_stars(members, turn))
-    return _matched(met, _only(incident, id_filter(_ids(met))), "prefix", _could_link)
+    lists = stored(_only(incident, id_filter(_ids(met))))  # a stage of its own: a task has one Python worker
+    out = stored(_matched(met, lists, "prefix", _could_link))
+    discard(met, lists)
+    return out
 
 
 def _unsettled(long: DataFrame, roots: DataFrame) -> DataFrame:
