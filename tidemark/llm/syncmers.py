@@ -71,12 +71,12 @@ def entries(text: Column, found: Column) -> Column:
 
 
 def fingerprint(entry: Column) -> Column:
-    return F.lower(F.array_join(F.transform(entry, lambda h: F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), " "))
+    return F.array_join(F.transform(entry, lambda h: F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), " ")
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Dice share of the distinct entries of two arrays of entries(), 0 to 1."""
-    both = F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))
+    """Dice share of two arrays of distinct entries, 0 to 1."""
+    both = F.size(x) + F.size(y)
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
 
 
@@ -137,9 +137,9 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"), cut.alias("cut"), length.alias("length"), anchors(F.col("text")).alias("a"), anchors(F.col("next_text")).alias("x"))
     both = spliced(F.col("text"), F.col("a"), F.col("cut"), F.col("next_text"), F.col("x"), F.col("length"))
     own = found.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), entries(F.col("text"), F.col("a")).alias("a"), entries(F.col("edited"), both).alias("e"), entries(F.col("next_text"), F.col("x")).alias("x"),
-    )
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), entries(F.col("text"), F.col("a")).alias("a"), entries(F.col("edited"), both).alias("e"), F.array_distinct(entries(F.col("next_text"), F.col("x"))).alias("x"),
+    ).withColumns({"da": F.array_distinct("a"), "de": F.array_distinct("e")})
     return own.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"),
+        likeness(F.col("da"), F.col("de")).alias("near_edited"), likeness(F.col("da"), F.col("x")).alias("near_next"),
     )
