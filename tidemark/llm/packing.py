@@ -36,7 +36,7 @@ MEMO_UNITS, MEMO_BYTES = 150_000, 16 << 20
 #: Text bytes in one step of a task.
 CHUNK = 4 << 20
 #: Rows of one length that a task ranks, about.
-RANKED = 100_000
+RANKED = 2_000
 
 # Classes of bytes: white space, letters, digits, all else. C3 and a byte behind it are a Latin letter, but for C3 97 and C3 B7.
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -292,14 +292,14 @@ def places(found: Plan) -> list[tuple[int, int, int, int, int, int]]:
 def pack(rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", ranked: int = RANKED) -> DataFrame:
     """rows (with id_col, piece and length) with sequence_id and offset. rows must give the same rows each time it is read.
 
-    A piece as long as a sequence is one of its own. The other pieces of a length are parted over buckets, as many as
-    make about `ranked` rows each; running sums over the buckets' sizes, in Spark, turn ranks within buckets into ranks.
+    A piece as long as a sequence is one of its own. The other pieces of a length are parted over as many buckets as make
+    about `ranked` rows each (a broadcast row for each length, fewer than `capacity`); running sums over the buckets' sizes, in Spark, turn ranks within buckets into ranks.
     """
     names = rows.columns
     seen = {r.length: r.n for r in rows.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     runs = np.array(places(plan(seen, capacity)), np.int64).reshape(-1, 6)
-    buckets = max(1, -(-max(seen.values(), default=1) // ranked))
-    salted = rows.where(F.col("length") < capacity).withColumn("_b", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)))
+    buckets = rows.sparkSession.createDataFrame([(k, -(-n // ranked)) for k, n in seen.items()], "length long, _k long")
+    salted = rows.join(F.broadcast(buckets), "length").select(*names, F.pmod(F.xxhash64(id_col, "piece"), "_k").alias("_b"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n")).select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = F.row_number().over(Window.partitionBy("length", "_b").orderBy(*names)) - 1
