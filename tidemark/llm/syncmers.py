@@ -33,8 +33,12 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def anchors(text: Column) -> Column:
-    """struct(at, key) of arrays: places of the anchors, ascending, and their hashes."""
+def _points(text: Column) -> Column:
+    return F.slice(F.split(text, ""), F.lit(1), F.length(text))
+
+
+def marks(text: Column) -> Column:
+    """For each window of a text whether it is an anchor; empty below K code points."""
     m = K - S + 1
 
     def edge(h: Column, i: Column) -> Column:
@@ -43,11 +47,22 @@ def anchors(text: Column) -> Column:
 
     def of(points: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(points) - S), lambda i: F.xxhash64(*[F.get(points, i + j) for j in range(S)]))
-        key = lambda h, at: F.transform(at, lambda i: F.hash(*[F.get(h, i + j) for j in range(0, m, S)]))
-        many = _let(runs, lambda h: _let(F.filter(F.sequence(F.lit(0), F.size(h) - m), lambda i: edge(h, i)), lambda at: F.struct(at.alias("at"), key(h, at).alias("key"))))
-        return F.when(F.size(points) >= K, many).otherwise(F.struct(F.array().cast("array<int>").alias("at"), F.array().cast("array<int>").alias("key")))
+        return F.when(F.size(points) >= K, _let(runs, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - m), lambda i: edge(h, i)))).otherwise(F.array().cast("array<boolean>"))
+
+    return _let(_points(text), of)
+
+
+def anchors(text: Column, marked: Column | None = None) -> Column:
+    """struct(at, key) of arrays: places of the anchors, ascending, and their hashes. marked: marks(text), if there."""
+
+    def key(points: Column, i: Column) -> Column:
+        return F.hash(*[F.xxhash64(*[F.get(points, i + (j + k)) for k in range(S)]) for j in range(0, K - S + 1, S)])
+
+    def of(points: Column, marked: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(marked)), lambda i: F.get(marked, i))
+        return _let(places, lambda at: F.struct(at.alias("at"), F.transform(at, lambda i: key(points, i)).alias("key")))
 
-    return _let(F.slice(F.split(text, ""), F.lit(1), F.length(text)), of)
+    return _let(_points(text), lambda points: _let(marks(text) if marked is None else marked, lambda found: of(points, found)))
 
 
 def spliced(text: Column, found: Column, cut: Column, other: Column, found_other: Column, length: Column) -> Column:
@@ -112,10 +127,12 @@ def _after(keys: DataFrame) -> DataFrame:
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and next_text: the text of the following row by id, and of the first row for the last one.
+    """id, text and next_text: the text of the following row by id, and of the first row for the last one; with the marks
+    of both as marked and next_marked.
 
-    Each text is shuffled once to its bucket; what a bucket's last row needs, the first row of the following bucket, is
-    found from ids alone and joined to it."""
+    Each text is shuffled once to its bucket, with its marks, so these are found once for a text and not again where it
+    follows another; what a bucket's last row needs, the first row of the following bucket, is found from ids alone and
+    joined to it."""
     rows = _bucketed(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), id_col)
     at = ["_range", "_bucket"]
     order = Window.partitionBy(*at).orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64("text"))
@@ -123,9 +140,10 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at_head = (rows["_range"] == ids["_range"]) & (rows["_bucket"] == ids["_bucket"]) & rows[id_col].eqNullSafe(ids["_id"])
     heads = rows.join(ids, at_head, "left_semi").groupBy(*at).agg(F.min_by("text", F.xxhash64("text")).alias("_head"))
     heads = heads.withColumnsRenamed({"_range": "_to_range", "_bucket": "_to"})
-    follow = stored(_after(ids).join(heads, ["_to_range", "_to"]).select(*at, "_head"))
-    placed = rows.withColumn("next_text", F.lead("text").over(order))
-    return placed.join(follow, at).select(id_col, "text", F.coalesce("next_text", "_head").alias("next_text"))
+    follow = stored(_after(ids).join(heads, ["_to_range", "_to"]).select(*at, "_head", marks(F.col("_head")).alias("_marked")))
+    placed = rows.withColumn("marked", marks(F.col("text")))
+    placed = placed.withColumns({"next_text": F.lead("text").over(order), "next_marked": F.lead("marked").over(order)})
+    return placed.join(follow, at).select(id_col, "text", "marked", F.coalesce("next_text", "_head").alias("next_text"), F.coalesce("next_marked", "_marked").alias("next_marked"))
 
 
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +152,7 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     cut, length = n - half, F.least(half, F.length("next_text"))
-    found = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"), cut.alias("cut"), length.alias("length"), anchors(F.col("text")).alias("a"), anchors(F.col("next_text")).alias("x"))
+    found = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"), cut.alias("cut"), length.alias("length"), anchors(F.col("text"), F.col("marked")).alias("a"), anchors(F.col("next_text"), F.col("next_marked")).alias("x"))
     both = spliced(F.col("text"), F.col("a"), F.col("cut"), F.col("next_text"), F.col("x"), F.col("length"))
     own = found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), entries(F.col("text"), F.col("a")).alias("a"), entries(F.col("edited"), both).alias("e"), F.array_distinct(entries(F.col("next_text"), F.col("x"))).alias("x"),
