@@ -23,31 +23,34 @@ from .common import table, text_chunks
 
 PROFILE = 300
 UNKNOWN = "und"
+#: Bits of a code point, and the tags of grams of one and two characters.
+BITS, ONE, TWO = 21, 0x1FFFFE, 0x1FFFFF
 
 
 @cache
 def letter_codes() -> np.ndarray:
-    """For each code point 0 if it's no letter, else a code below 1024 of its lower case: its own up to U+024F, shared above."""
-    codes = np.zeros(0x110000, np.uint32)
-    for cp in [*range(0xD800), *range(0xE000, 0x32000)]:
+    """For each code point 0 if it's no letter, else its lower case. Planes 4 and up hold no letters."""
+    codes = np.zeros(0x110000, np.int64)
+    for cp in range(0x40000):
         ch = chr(cp)
         if ch.isalpha():
-            low = ord(ch.lower()[0])
-            codes[cp] = low if low < 0x250 else 0x250 + low % 431
+            codes[cp] = ord(ch.lower()[0])
     return codes
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams of a text, with word boundaries as 0, as often as they occur."""
+    """Codes of all 1-, 2- and 3-grams of a text, with word boundaries as 0, as often as they occur.
+
+    A code holds three fields of BITS bits; the first one of shorter grams is a tag that is no code point."""
     c = letter_codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not c.any():
-        return np.zeros(0, np.uint32)
-    c = np.concatenate([[np.uint32(0)], c, [np.uint32(0)]])
+        return np.zeros(0, np.int64)
+    c = np.concatenate([[0], c, [0]])
     c = c[(c > 0) | np.append(True, c[:-1] > 0)]
     one = c[c > 0]
-    two = (c[:-1] << np.uint32(10)) | c[1:]
-    three = ((c[:-2] << np.uint32(20)) | (c[1:-1] << np.uint32(10)) | c[2:])[c[1:-1] > 0]
-    return np.concatenate([one | np.uint32(1 << 30), two | np.uint32(2 << 30), three])
+    two = (c[:-1] << BITS) | c[1:]
+    three = ((c[:-2] << 2 * BITS) | two[1:])[c[1:-1] > 0]
+    return np.concatenate([one | ONE << 2 * BITS, two | TWO << 2 * BITS, three])
 
 
 def counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +90,7 @@ def profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang", k
                         held[lang] = [merged(held[lang])]
         for lang, parts in held.items():
             u, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(n)], names=["lang", "gram", "n"])
 
     found = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, F.col(lang_col).cast("string")).mapInArrow(run, "lang string, gram long, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -107,10 +110,10 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text_col: str = "text
     where = df.columns.index(text_col)
 
     def run(batches):
-        known = np.unique(np.array([g for x in names for g in learned[x]], np.uint32)) if names else np.zeros(0, np.uint32)
+        known = np.unique(np.array([g for x in names for g in learned[x]], np.int64)) if names else np.zeros(0, np.int64)
         ranks = np.full((len(names), len(known) + 1), -1, np.int64)
         for i, x in enumerate(names):
-            ranks[i, np.searchsorted(known, np.array(learned[x], np.uint32))] = np.arange(len(learned[x]))
+            ranks[i, np.searchsorted(known, np.array(learned[x], np.int64))] = np.arange(len(learned[x]))
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column(where)):
                 raw = data.tobytes()
