@@ -37,62 +37,73 @@ def _points(text: Column) -> Column:
     return F.slice(F.split(text, ""), F.lit(1), F.length(text))
 
 
-def marks(text: Column) -> Column:
-    """For each window of a text whether it is an anchor; empty below K code points."""
+def anchors(text: Column) -> Column:
+    """struct(at, key) of arrays: places of the anchors, ascending, and their hashes."""
     m = K - S + 1
 
     def edge(h: Column, i: Column) -> Column:
         middle = F.least(*[F.get(h, i + j) for j in range(1, m - 1)])
         return F.least(F.get(h, i), F.get(h, i + m - 1)) <= middle
 
-    def of(points: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(points) - S), lambda i: F.xxhash64(*[F.get(points, i + j) for j in range(S)]))
-        return F.when(F.size(points) >= K, _let(runs, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - m), lambda i: edge(h, i)))).otherwise(F.array().cast("array<boolean>"))
+    def of(h: Column) -> Column:
+        windows = F.when(F.size(h) >= K, F.sequence(F.lit(0), F.size(h) - K)).otherwise(F.array().cast("array<int>"))
+        key = lambda i: F.hash(*[F.get(h, i + j) for j in range(0, m, S)])
+        return _let(F.filter(windows, lambda i: edge(h, i)), lambda at: F.struct(at.alias("at"), F.transform(at, key).alias("key")))
 
-    return _let(_points(text), of)
+    # the last S - 1 runs are cut short; no window reaches them
+    runs = lambda points: F.transform(points, lambda x, i: F.xxhash64(x, *[F.get(points, i + j) for j in range(1, S)]))
+    return _let(_let(_points(text), runs), of)
 
 
-def anchors(text: Column, marked: Column | None = None) -> Column:
-    """struct(at, key) of arrays: places of the anchors, ascending, and their hashes. marked: marks(text), if there."""
+def _bound(at: Column, key: Column, after: Column) -> Column:
+    """The hash of each anchor with the distance to the next one, the last one's to `after` (null: none follows)."""
+    return F.transform(at, lambda i, nth: F.hash(F.get(key, nth), F.coalesce(F.get(at, nth + 1), after) - i))
 
-    def key(points: Column, i: Column) -> Column:
-        return F.hash(*[F.xxhash64(*[F.get(points, i + (j + k)) for k in range(S)]) for j in range(0, K - S + 1, S)])
 
-    def of(points: Column, marked: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(marked)), lambda i: F.get(marked, i))
-        return _let(places, lambda at: F.struct(at.alias("at"), F.transform(at, lambda i: key(points, i)).alias("key")))
+def _or_whole(entry: Column, text: Column) -> Column:
+    """entry; of a text without an anchor, the hash of the whole."""
+    whole = F.when(F.length(text) > 0, F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))
+    return _let(entry, lambda e: F.when(F.size(e) > 0, e).otherwise(whole))
 
-    return _let(_points(text), lambda points: _let(marks(text) if marked is None else marked, lambda found: of(points, found)))
 
+def entries(text: Column, found: Column) -> Column:
+    """The hash of each anchor with the distance to the next one; of a text without an anchor, that of the whole."""
+    return _or_whole(_let(found, lambda x: _bound(x["at"], x["key"], F.lit(None).cast("int"))), text)
 
-def spliced(text: Column, found: Column, cut: Column, other: Column, found_other: Column, length: Column) -> Column:
-    """anchors() of the first `cut` code points of text, followed by the first `length` of other, from those of both.
 
-    Anchors depend on their own code points alone, so only the windows across the cut are looked at anew."""
+def spliced(text: Column, found: Column, entry: Column, cut: Column, other: Column, found_other: Column, entry_other: Column, length: Column) -> Column:
+    """entries() of the first `cut` code points of text, followed by the first `length` of other, from those of both.
+
+    Anchors depend on their own code points alone, so only the windows across the cut are looked at anew, and only the
+    last anchor before it, those across it and the last one of all are bound anew."""
     first = F.greatest(F.lit(0), cut - (K - 1))
+    edited = F.concat(F.substring(text, F.lit(1), cut), F.substring(other, F.lit(1), length))
     across = anchors(F.concat(F.substring(text, first + 1, cut - first), F.substring(other, F.lit(1), F.least(length, F.lit(K - 1)))))
-    upto = lambda x, end: F.size(F.filter(x["at"], lambda i: i + K <= end))
-    some = lambda x, n: F.struct(F.slice(x["at"], F.lit(1), n).alias("at"), F.slice(x["key"], F.lit(1), n).alias("key"))
-    moved = lambda x, by: F.transform(x["at"], lambda i: i + by)
-    parts = F.struct(some(found, upto(found, cut)).alias("l"), across.alias("m"), some(found_other, upto(found_other, length)).alias("r"))
-    return _let(parts, lambda p: F.struct(F.concat(p["l"]["at"], moved(p["m"], first), moved(p["r"], cut)).alias("at"), F.concat(p["l"]["key"], p["m"]["key"], p["r"]["key"]).alias("key")))
+    upto = lambda x, end: F.size(F.filter(x["at"], lambda i: i + K <= end))  # noqa: E731; end must be a column, not computed here
+    parts = F.struct(upto(found, cut).alias("l"), across.alias("m"), upto(found_other, length).alias("r"))
 
+    def of(p: Column) -> Column:
+        none = F.array().cast("array<int>")
+        last = lambda x, n: F.when(n > 0, F.array(F.get(x, n - 1))).otherwise(none)
+        before = lambda e, n: F.slice(e, F.lit(1), F.greatest(n - 1, F.lit(0)))
+        at = F.concat(last(found["at"], p["l"]), F.transform(p["m"]["at"], lambda i: i + first))
+        key = F.concat(last(found["key"], p["l"]), p["m"]["key"])
+        after = F.when(p["r"] > 0, F.get(found_other["at"], F.lit(0)) + cut)
+        middle = _let(F.struct(at.alias("at"), key.alias("key"), after.alias("after")), lambda x: _bound(x["at"], x["key"], x["after"]))
+        end = F.when(p["r"] > 0, F.array(F.hash(F.get(found_other["key"], p["r"] - 1)))).otherwise(none)
+        return F.concat(before(entry, p["l"]), middle, before(entry_other, p["r"]), end)
 
-def entries(text: Column, found: Column) -> Column:
-    """The hash of each anchor with the distance to the next one; of a text without an anchor, that of the whole."""
-    whole = F.when(F.length(text) > 0, F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))
-    bound = lambda x: F.transform(x["at"], lambda i, nth: F.hash(F.get(x["key"], nth), F.get(x["at"], nth + 1) - i))
-    return _let(found, lambda x: F.when(F.size(x["at"]) > 0, bound(x)).otherwise(whole))
+    return _or_whole(_let(parts, of), edited)
 
 
 def fingerprint(entry: Column) -> Column:
     return F.array_join(F.transform(entry, lambda h: F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), " ")
 
 
-def likeness(x: Column, y: Column) -> Column:
-    """Dice share of two arrays of distinct entries, 0 to 1."""
-    both = F.size(x) + F.size(y)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+def likeness(x: Column, y: Column, nx: Column | None = None, ny: Column | None = None) -> Column:
+    """Dice share of two arrays of entries, 0 to 1. nx and ny: how many of each differ; if not given, all do."""
+    nx, ny = F.size(x) if nx is None else nx, F.size(y) if ny is None else ny
+    return F.when(nx + ny == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (nx + ny))
 
 
 def _bucketed(df: DataFrame, id_col: str) -> DataFrame:
@@ -126,38 +137,45 @@ def _after(keys: DataFrame) -> DataFrame:
     return joined.select("_range", "_bucket", F.when(F.col("_to").isNull(), F.col("_head.r")).otherwise(F.col("_range")).alias("_to_range"), F.coalesce("_to", "_head.b").alias("_to"))
 
 
+def signed(text: Column) -> Column:
+    """struct(found, entry, distinct): a text's anchors, its entries and how many of these differ, each computed once."""
+    both = _let(anchors(text), lambda x: F.struct(x.alias("found"), entries(text, x).alias("entry")))
+    return _let(both, lambda x: F.struct(x["found"].alias("found"), x["entry"].alias("entry"), F.size(F.array_distinct(x["entry"])).alias("distinct")))
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and next_text: the text of the following row by id, and of the first row for the last one; with the marks
-    of both as marked and next_marked.
+    """id, text and signed (what signed() finds of it); in next, text and signed of the following row by id, and of the
+    first row for the last one.
 
-    Each text is shuffled once to its bucket, with its marks, so these are found once for a text and not again where it
-    follows another; what a bucket's last row needs, the first row of the following bucket, is found from ids alone and
-    joined to it."""
+    Each text is shuffled once to its bucket, alone; its anchors are found there, once, and the window hands them to the
+    row before it in the same task. What a bucket's last row needs, the first row of the following bucket, is found from
+    ids alone and joined to it."""
+    tie = F.xxhash64("text")
     rows = _bucketed(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")), id_col)
     at = ["_range", "_bucket"]
-    order = Window.partitionBy(*at).orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64("text"))
     ids = stored(rows.groupBy(*at).agg(F.min(id_col).alias("_id")))
     at_head = (rows["_range"] == ids["_range"]) & (rows["_bucket"] == ids["_bucket"]) & rows[id_col].eqNullSafe(ids["_id"])
-    heads = rows.join(ids, at_head, "left_semi").groupBy(*at).agg(F.min_by("text", F.xxhash64("text")).alias("_head"))
+    heads = rows.join(ids, at_head, "left_semi").groupBy(*at).agg(F.min_by("text", tie).alias("text"))
     heads = heads.withColumnsRenamed({"_range": "_to_range", "_bucket": "_to"})
-    follow = stored(_after(ids).join(heads, ["_to_range", "_to"]).select(*at, "_head", marks(F.col("_head")).alias("_marked")))
-    placed = rows.withColumn("marked", marks(F.col("text")))
-    placed = placed.withColumns({"next_text": F.lead("text").over(order), "next_marked": F.lead("marked").over(order)})
-    return placed.join(follow, at).select(id_col, "text", "marked", F.coalesce("next_text", "_head").alias("next_text"), F.coalesce("next_marked", "_marked").alias("next_marked"))
+    follow = stored(_after(ids).join(heads, ["_to_range", "_to"]).select(*at, F.struct("text", signed(F.col("text")).alias("signed")).alias("_head")))
+    order = [F.col(id_col).asc_nulls_first(), F.col("_tie")]
+    # sorted before the anchors are there, so the sort moves texts alone; the window asks for the same order
+    placed = rows.withColumn("_tie", tie).repartition(*at).sortWithinPartitions(*at, *order)
+    own = placed.select(id_col, *at, "_tie", F.struct("text", signed(F.col("text")).alias("signed")).alias("_own"))
+    following = own.withColumn("_next", F.lead("_own").over(Window.partitionBy(*at).orderBy(*order)))
+    return following.join(follow, at).select(id_col, "_own.*", F.coalesce("_next", "_head").alias("next"))
 
 
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_next(table(spark, sf_dir, "documents"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    cut, length = n - half, F.least(half, F.length("next_text"))
-    found = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"), cut.alias("cut"), length.alias("length"), anchors(F.col("text"), F.col("marked")).alias("a"), anchors(F.col("next_text"), F.col("next_marked")).alias("x"))
-    both = spliced(F.col("text"), F.col("a"), F.col("cut"), F.col("next_text"), F.col("x"), F.col("length"))
-    own = found.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), entries(F.col("text"), F.col("a")).alias("a"), entries(F.col("edited"), both).alias("e"), F.array_distinct(entries(F.col("next_text"), F.col("x"))).alias("x"),
-    ).withColumns({"da": F.array_distinct("a"), "de": F.array_distinct("e")})
+    # lengths stand in columns of their own: within a lambda they would be counted for each anchor
+    docs = with_next(table(spark, sf_dir, "documents")).withColumns({"n": n, "cut": n - half, "length": F.least(half, F.length("next.text"))})
+    edited = F.concat(F.substring("text", F.lit(1), F.col("cut")), F.substring("next.text", F.lit(1), F.col("length")))
+    both = spliced(F.col("text"), F.col("signed.found"), F.col("signed.entry"), F.col("cut"), F.col("next.text"), F.col("next.signed.found"), F.col("next.signed.entry"), F.col("length"))
+    own = docs.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), F.col("signed.entry").alias("a"), F.col("signed.distinct").alias("na"), both.alias("e"), F.col("next.signed.entry").alias("x"), F.col("next.signed.distinct").alias("nx"))
+    own = own.withColumn("de", F.array_distinct("e"))
     return own.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("da"), F.col("de")).alias("near_edited"), likeness(F.col("da"), F.col("x")).alias("near_next"),
+        likeness(F.col("a"), F.col("de"), F.col("na")).alias("near_edited"), likeness(F.col("a"), F.col("x"), F.col("na"), F.col("nx")).alias("near_next"),
     )
