@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import discard, shared_dir, stored  # noqa: F401
 
@@ -51,6 +52,25 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
+def appended(df: DataFrame, inputs: list[str], fields: list[T.StructField], compute: Callable[..., list[pa.Array]]) -> DataFrame:
+    """df with the columns `fields`; a column of df by the same name gives way.
+
+    compute gets runs of rows of the columns `inputs`, the last of which is a string column and decides where runs are
+    cut (see text_chunks), and returns an array for each field."""
+    new = {f.name.lower() for f in fields}
+    kept = [i for i, f in enumerate(df.schema) if f.name.lower() not in new]
+    read = [df.schema.names.index(c) for c in inputs]
+    schema = T.StructType([*(df.schema[i] for i in kept), *fields])
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, _, _ in text_chunks(batch.column(read[-1])):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *compute(*(part.column(i) for i in read))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
