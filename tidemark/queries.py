@@ -17,6 +17,8 @@ from .plans import features as fts
 from .plans import research, scan
 from .sources import bars as src
 from .sources import calendar as cal
+from .sources import repository as rep
+from .sources.shared import shared_dir, stored
 
 CFG = Config()
 ANALYSIS = "2001-06-15"
@@ -596,6 +598,42 @@ def cache_refresh(m):
     return src.refresh_ranges(held, m.calendar, "1996-01-01", "2001-12-31").drop("refresh")
 
 
+HELD = "s.session_no * 8 > n AND s.session_no * 8 <= 7 * n AND NOT (s.session_no * 2 > n AND s.session_no * 2 <= n + 40) AND b.symbol > (SELECT min(symbol) FROM bars)"
+
+
+@query("""SELECT symbol, CASE WHEN held = 0 THEN 'FILLED' ELSE 'REFRESHED' END AS status, lo AS refresh_start, hi AS refresh_end, held AS rows_before, rows AS rows_after, asked AS rows_downloaded, last_held AS previous_latest_session, last AS new_latest_session, span - rows AS gaps, span = rows AS range_complete, 'HIT' AS then_status, CAST(0 AS BIGINT) AS then_downloaded
+FROM (SELECT symbol, count(*) AS rows, count(*) FILTER (WHERE held) AS held, max(session_date) FILTER (WHERE held) AS last_held, max(session_date) AS last, max(session_no) - min(session_no) + 1 AS span FROM h GROUP BY 1) JOIN (SELECT h.symbol, count(*) AS asked FROM h JOIN (SELECT symbol, max(session_date) FILTER (WHERE held) - 18 AS back FROM h GROUP BY 1) AS t USING (symbol) WHERE NOT held OR session_date >= back GROUP BY 1) USING (symbol), (SELECT min(session_date) AS lo, max(session_date) AS hi FROM cal)""",
+       f"h AS MATERIALIZED (SELECT b.symbol, b.session_date, s.session_no, {HELD} AS held FROM bars AS b JOIN cal AS s USING (session_date), (SELECT max(session_no) AS n FROM cal))")
+def repository_refresh(m):
+    """A cache that lacks its first and last eighth, 20 sessions in the middle and one symbol is brought up to date from all bars; then once more."""
+    every, calendar = stored(m.bars), stored(m.calendar)
+    n, span = F.lit(calendar.count()), calendar.agg(F.min("session_date"), F.max("session_date")).first()
+    no = F.col("session_no")
+    held = every.join(calendar, "session_date").where((no * 8 > n) & (no * 8 <= n * 7) & ~((no * 2 > n) & (no * 2 <= n + 40)))
+    held = held.join(every.agg(F.min("symbol").alias("symbol")), "symbol", "left_anti").select(every.columns)
+    cache = src.BarCache(m.spark, shared_dir(m.spark))
+    cache.upsert(held.withColumns({"source": F.lit("seed"), "ingest_ts": F.lit("2000-01-01").cast("timestamp")}))
+    repo = rep.Repository(cache, rep.from_table(every, "orders"), calendar, "RAW")
+    symbols = every.select("symbol")
+    once, twice = repo.refresh(symbols, str(span[0]), str(span[1])), repo.refresh(symbols, str(span[0]), str(span[1]))
+    then = twice.diagnostics.select("symbol", F.col("status").alias("then_status"), F.col("rows_downloaded").alias("then_downloaded"))
+    out = once.diagnostics.withColumn("gaps", F.size("internal_gap_sessions").cast("long"))
+    return out.join(then, "symbol").select("symbol", "status", "refresh_start", "refresh_end", "rows_before", "rows_after", "rows_downloaded", "previous_latest_session", "new_latest_session", "gaps", "range_complete", "then_status", "then_downloaded")
+
+
+@query("SELECT symbol, session_date, round(CASE WHEN session_date = last THEN close * 2 ELSE close END, 6) AS close, date_trunc('month', session_date) = date_trunc('month', last) AS rewritten FROM bars, (SELECT max(session_date) AS last FROM cal)")
+def cache_partitions(m):
+    """The cache after a first write that holds every bar twice, and an upsert of the last day's bars with twice the close."""
+    stamp = lambda df, at: df.withColumn("ingest_ts", F.lit(at).cast("timestamp"))
+    every = stored(m.bars)
+    cache = src.BarCache(m.spark, shared_dir(m.spark))
+    cache.upsert(stamp(every, "2002-01-01").unionByName(stamp(every.withColumn("close", F.col("close") + 1), "2001-01-01")))
+    last = every.agg(F.max("session_date").alias("session_date"))
+    rows = cache.upsert(stamp(every.join(last, "session_date", "left_semi").withColumn("close", F.col("close") * 2), "2002-01-02"))
+    months = [(month, folder.startswith("2-")) for month, folder in cache.manifest()["months"].items()]
+    return rows.withColumn("month", F.date_format("session_date", "yyyy-MM")).join(m.spark.createDataFrame(months, "month string, rewritten boolean"), "month").select(*KEY, "close", "rewritten")
+
+
 @query("SELECT symbol, count(*) AS rows, (SELECT count(*) FROM cal) - count(*) AS gaps, count(*) = (SELECT count(*) FROM cal) AS range_complete FROM bars GROUP BY 1")
 def cache_coverage(m):
     return src.coverage(m.bars, m.calendar, "1990-01-01", "2010-01-01")

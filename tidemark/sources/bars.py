@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from .cache import SCHEMA_VERSION, BarCache, merged  # noqa: F401
+
 BAR_SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("session_date", T.DateType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]])
 RAW_SCHEMA = T.StructType([*BAR_SCHEMA.fields, *[T.StructField(c, T.DoubleType()) for c in ("adj_close", "dividends", "stock_splits")], T.StructField("source", T.StringType()), T.StructField("ingest_ts", T.TimestampType())])
 #: Columns of the exchange's daily file that are read; fixed values.
 EXCHANGE_COLUMNS = {"TckrSymb": "symbol", "TradDt": "session_date", "OpnPric": "open", "HghPric": "high", "LwPric": "low", "ClsPric": "close", "TtlTradgVol": "volume"}
-SCHEMA_VERSION = 1
 
 
 class DataUnavailable(RuntimeError):
@@ -91,44 +92,6 @@ def build_sources(spark: SparkSession, paths: dict[str, str]) -> list[tuple[str,
     return [(name, opened(path)) for name, path in dict(paths).items()]
 
 
-def merged(cached: DataFrame, new: DataFrame, keys=("symbol", "session_date"), order: str = "ingest_ts") -> DataFrame:
-    """Cached and new rows with the latest of each key: what arrived later wins, whatever its date."""
-    both = cached.unionByName(new, allowMissingColumns=True)
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in both.columns if c not in keys]), F.col(order)).alias("r")).select(*keys, "r.*")
-
-
-class BarCache:
-    """Raw bars as Parquet, partitioned by source, in numbered versions; a version is whole or doesn't exist.
-
-    A reader takes the version that the pointer file names, so a failed write changes nothing."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def version(self) -> int:
-        if not self.fs.exists(self.fs_path(self.path)):
-            return 0
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.fs_path(self.path))]
-        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self.fs.exists(self.fs_path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
-
-    def read(self) -> DataFrame | None:
-        """None (a miss) if nothing was written or the schema's version differs."""
-        v = self.version()
-        if not v:
-            return None
-        df = self.spark.read.parquet(f"{self.path}/v{v}")
-        return df.drop("schema_version") if df.where(F.col("schema_version") != SCHEMA_VERSION).isEmpty() else None
-
-    def upsert(self, new: DataFrame) -> DataFrame:
-        old = self.read()
-        rows = new if old is None else merged(old, new)
-        rows.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
-        return self.read()
-
-
 def refresh_ranges(cached: DataFrame, calendar: DataFrame, start: str, end: str, overlap: int = 10) -> DataFrame:
     """What to fetch for each symbol so that its cache covers start..end: a tail from `overlap` sessions before its last
     bar, a head before its first, or nothing (HIT)."""
