@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until they are none of those taken, in whatever case."""
+    taken_ = {t.lower() for t in taken}
+    while any(n.lower() in taken_ for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:
     """rows joined with groups, which has a row for each key with the number of its rows in `size`.
 

@@ -70,18 +70,35 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"), "full_hash", *more)
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose text no row with a smaller id repeats. Rows that repeat an id that stays all stay."""
-    dropped = stored(exact_groups(df, id_col, text_col).where(~F.col("kept")).select(F.xxhash64(F.col(id_col), "full_hash").alias("_key"), F.col(id_col).alias("_dropped"), F.col("full_hash").alias("_dropped_hash")).distinct())
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """The rows of df, all columns, whose text no row with a smaller id repeats.
+
+    Rows that repeat an id that stays all stay; with `once`, one row of each id (or none) and text does: the least by a
+    hash of its columns."""
+    groups = exact_groups(df, id_col, text_col).where("full_hash IS NOT NULL")
+    if once:
+        groups = stored(groups)
+    key = [F.xxhash64(F.col(id_col), "full_hash").alias("_key"), F.col(id_col).alias("_dropped"), F.col("full_hash").alias("_dropped_hash")]
+    dropped = groups.where(~F.col("kept")).select(*key, F.lit(False).alias("_twice")).distinct()
+    if once:
+        # counts combine on the map side, so an id and text that repeat often send one row for each task
+        twice = groups.where("kept").groupBy(id_col, "full_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        dropped = dropped.unionByName(twice.select(*key, F.lit(True).alias("_twice")))
+    dropped = stored(dropped)
     # by id and text: rows that share an id, or have none, may differ in text
     cells = stored(dropped.select(_cell(F.col("_dropped")).alias("_cell")).distinct())
     names = df.columns
-    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_cell", _cell(F.col("_id")))
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(*plain).alias("_order")).withColumn("_cell", _cell(F.col("_id")))
     marked = marked.join(F.broadcast(cells.withColumn("_some", F.lit(True))), "_cell", "left")
     # a row in no cell of a dropped id stays as it is; only the others have their text hashed and meet the dropped ones
     asked = marked.where("_some").withColumn("_hash", F.sha2(normalised(F.col("_text")), 256)).withColumn("_key", F.xxhash64("_id", "_hash"))
     same = (asked["_key"] == dropped["_key"]) & asked["_id"].eqNullSafe(dropped["_dropped"]) & (asked["_hash"] == dropped["_dropped_hash"])
-    return asked.join(dropped, same, "left_anti").select("_row").union(marked.where("_some IS NULL").select("_row")).select("_row.*")
+    out = asked.join(dropped, same, "left_anti").select("_row").union(marked.where("_some IS NULL").select("_row"))
+    if once:
+        met = asked.join(dropped.where("_twice"), same, "left_semi").groupBy("_key", "_id", "_hash").agg(F.min_by("_row", "_order").alias("_row"))
+        out = out.union(met.select("_row"))
+    return out.select("_row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,12 +16,15 @@ inside it, but articles inside reader comments or related items stay only where
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and joined by a
 newline. Null, empty and text-free html gives an empty text. Unclosed tags close at the end of the page. Repeated rows
-give repeated results; an empty table an empty one. A page is one row of work.
+give repeated results; an empty table an empty one. A page is one row of work, in time linear in its length, broken markup
+included. Other columns stay; one named like the output gives way to it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from html import unescape
 from statistics import median
 
@@ -34,7 +37,11 @@ from .common import table
 BLOCK = 3
 SURGE = 80
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
+#: Comments, elements without text (to their end tag), other tags, declarations. A tag's attributes are matched here only
+#: where no angle bracket stands inside them, so no attempt passes the next one; see _Tags for the others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"<>]*\"|'[^'<>]*'|[^'\"<>])*)>", re.S | re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+_EVENT = re.compile("['\">]")
 _ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
@@ -46,7 +53,7 @@ _PLAIN = frozenset("body html article main h1 h2 h3 h4 h5 h6 hgroup".split())
 _PART = r"ads?|adv|advert\w*|banner|breadcrumbs?|consent|cookies?|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|widget|complementary|contentinfo"
 _OTHERS = r"comments?|commentlist|disqus|related|replies|reply|respond"
 _AROUND = r"area|bar|block|box|buttons?|container|global|icons?|inner|items?|links?|list|main|media|primary|reader|secondary|section|site|slot|thread|top|unit|user|wrap|wrapper"
-_NAMES = re.compile(rf"(?:(?:{_AROUND})[_-]+)*(?:{_PART}|{_OTHERS})(?:[_-]+(?:{_PART}|{_OTHERS}|{_AROUND}|\d+))*", re.I)
+_BAD_PART, _ANY_PART = re.compile(rf"{_PART}|{_OTHERS}"), re.compile(rf"{_PART}|{_OTHERS}|{_AROUND}")
 _READERS = re.compile(rf"(?:.*[_-])?(?:{_OTHERS})(?:[_-].*)?", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -55,6 +62,65 @@ _SPACE = re.compile(r"\s+")
 TEXT, NAMED, OTHERS, TAGGED = range(4)
 
 
+def _named(token: str) -> bool:
+    """Whether a token's parts are all known, one of them names boilerplate, and no number stands before that one."""
+    parts = re.split("[_-]+", token.lower())
+    first = next((k for k, p in enumerate(parts) if _BAD_PART.fullmatch(p)), None)
+    return first is not None and all(_ANY_PART.fullmatch(p) or k > first and p.isdecimal() for k, p in enumerate(parts))
+
+
+class _Tags:
+    """Ends of tags and declarations that _TOKEN leaves: those with angle brackets between quotes, or that never end.
+
+    Quotes and closing brackets are found once for the page. A search that runs out of them marks the quotes that it passed
+    as dead: a later one that comes to such a quote ends there, so all searches together are linear."""
+
+    def __init__(self, html: str):
+        self.html, self.dead = html, set()
+        self.events = [m.start() for m in _EVENT.finditer(html)]
+        # for each event the next one of its own kind
+        self.next, seen = [0] * len(self.events), {}
+        for k in range(len(self.events) - 1, -1, -1):
+            c = html[self.events[k]]
+            self.next[k] = seen.get(c, len(self.events))
+            seen[c] = k
+        self.last_close = html.rfind(">")
+
+    def end(self, at: int) -> int | None:
+        """Where the tag whose attributes begin at `at` ends, behind its bracket; None if it doesn't."""
+        k, passed = bisect_left(self.events, at), []
+        while k < len(self.events) and self.events[k] not in self.dead:
+            if self.html[self.events[k]] == ">":
+                return self.events[k] + 1
+            passed.append(self.events[k])
+            k = self.next[k] + 1
+        self.dead.update(passed)
+        return None
+
+    def close(self, at: int) -> int | None:
+        """Behind the next closing bracket."""
+        return self.html.find(">", at) + 1 if at <= self.last_close else None
+
+
+def _tokens(html: str) -> Iterator[tuple[int, int, bool | None, str, str]]:
+    """(start, end, whether it closes, tag, attributes) of all markup in order; the third is None for what isn't a tag."""
+    at, tags = 0, None
+    while (start := html.find("<", at)) >= 0:
+        if m := _TOKEN.match(html, start):
+            at = m.end()
+            yield (start, at, None, "", "") if m[3] is None else (start, at, m[2] == "/", m[3].lower(), m[4])
+            continue
+        at = start + 1
+        tags = tags or _Tags(html)
+        if m := _NAME.match(html, start):
+            if end := tags.end(m.end()):
+                at = end
+                yield start, end, m[1] == "/", m[2].lower(), html[m.end() : end - 1]
+        elif html[start + 1 : start + 2] in ("!", "?") and (end := tags.close(start + 2)):
+            at = end
+            yield start, end, None, "", ""
+
+
 def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
     if tag in _SKIP:
         return NAMED if tag == "form" else TAGGED
@@ -70,7 +136,7 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> int:
             continue
         for t in tokens:
             # an article's own header stays, as the tag does
-            if _NAMES.fullmatch(t) and not (inside and re.search("header|masthead", t, re.I)):
+            if _named(t) and not (inside and re.search("header|masthead", t, re.I)):
                 others = bool(_READERS.fullmatch(t))
                 if tag != "article" or others and "comment" in t.lower():
                     level = max(level, OTHERS if others else NAMED)
@@ -83,6 +149,8 @@ def lines(html: str) -> list[tuple[str, int, bool, int]]:
     parts: list[str] = []
     linked, links = 0, 0
     stack: list[tuple[str, int, int]] = []  # tag, and boilerplate and article around it
+    places: dict[str, list[int]] = {}  # where in the stack the open tags of a name are
+    blocks = [-1]  # and those that aren't inline
     skip, main = TEXT, 0
 
     def end() -> None:
@@ -96,6 +164,9 @@ def lines(html: str) -> list[tuple[str, int, bool, int]]:
     def pop() -> None:
         nonlocal skip, main, links
         tag, skip, main = stack.pop()
+        places[tag].pop()
+        if blocks[-1] == len(stack):
+            blocks.pop()
         links -= tag == "a"
 
     def text_at(a: int, b: int) -> None:
@@ -107,12 +178,11 @@ def lines(html: str) -> list[tuple[str, int, bool, int]]:
                 linked += len(t.strip())
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        text_at(at, m.start())
-        at = m.end()
-        if m[3] is None:
+    for start, stop, closing, tag, attributes in _tokens(html):
+        text_at(at, start)
+        at = stop
+        if closing is None:
             continue
-        closing, tag = m[2] == "/", m[3].lower()
         if tag == "br":
             parts.append(" ")
             continue
@@ -120,21 +190,24 @@ def lines(html: str) -> list[tuple[str, int, bool, int]]:
         if block:
             end()
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            k = places[tag][-1] if places.get(tag) else -1
             # an inline tag doesn't close the block around it
-            if k is not None and (block or all(s[0] in _INLINE for s in stack[k:])):
+            if k >= 0 and (block or k > blocks[-1]):
                 while len(stack) > k:
                     pop()
-        elif tag not in _VOID and not m[4].rstrip().endswith("/"):
+        elif tag not in _VOID and not attributes.rstrip().endswith("/"):
             if tag in _CLOSES_P:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] not in _INLINE), None)
-                if k is not None and stack[k][0] == "p":
+                if blocks[-1] >= 0 and stack[blocks[-1]][0] == "p":
+                    k = blocks[-1]
                     while len(stack) > k:
                         pop()
             elif tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 while stack and (stack[-1][0] in _INLINE or stack[-1][0] in (tag, "p")):
                     pop()
-            bad = _boilerplate(tag, m[4], main > 0)
+            bad = _boilerplate(tag, attributes, main > 0)
+            places.setdefault(tag, []).append(len(stack))
+            if block:
+                blocks.append(len(stack))
             stack.append((tag, skip, main))
             if tag in _MAIN and bad == TEXT and skip < TAGGED:
                 main, skip = 2 if skip == OTHERS or main == 2 else 1, TEXT

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, text_chunks
 
@@ -132,8 +133,7 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text_col: str = "text
                     scores.append(1.0 - float(d.min()) / (k * len(g)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
 
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{pred} string", f"{score} double"])
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):

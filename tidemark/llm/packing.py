@@ -25,8 +25,9 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, table, text_chunks
+from .common import stored, table, text_chunks, unused
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -289,32 +290,35 @@ def places(found: Plan) -> list[tuple[int, int, int, int, int, int]]:
     return sorted(out)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", ranked: int = RANKED) -> DataFrame:
-    """rows (with id_col, piece and length) with sequence_id and offset. rows must give the same rows each time it is read.
+def pack(rows: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
+    """rows (with length) with sequence_id and offset; columns of these names give way. rows must give the same rows each time it is read.
 
     A piece as long as a sequence is one of its own. The other pieces of a length are parted over as many buckets as make
     about `ranked` rows each (a broadcast row for each length, fewer than `capacity`); running sums over the buckets' sizes, in Spark, turn ranks within buckets into ranks.
     """
+    rows = rows.drop("sequence_id", "offset")
     names = rows.columns
+    k, bucket, n, first, rank = unused(names, "k", "bucket", "n", "first", "rank")
     seen = {r.length: r.n for r in rows.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     runs = np.array(places(plan(seen, capacity)), np.int64).reshape(-1, 6)
-    buckets = rows.sparkSession.createDataFrame([(k, -(-n // ranked)) for k, n in seen.items()], "length long, _k long")
-    salted = rows.join(F.broadcast(buckets), "length").select(*names, F.pmod(F.xxhash64(id_col, "piece"), "_k").alias("_b"))
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    first = salted.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n")).select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("length", "_b").orderBy(*names)) - 1
-    placed = salted.withColumn("_rank", within).join(first, ["length", "_b"]).select(*names, (F.col("_rank") + F.col("_first")).alias("_rank"))
+    buckets = rows.sparkSession.createDataFrame([(x, -(-m // ranked)) for x, m in seen.items()], f"length long, {k} long")
+    # by all columns: rows without an id, or with one that repeats, differ in their tokens' checksums
+    salted = rows.join(F.broadcast(buckets), "length").select(*names, F.pmod(F.xxhash64(*names), k).alias(bucket))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(n)).select("length", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = F.row_number().over(Window.partitionBy("length", bucket).orderBy(*names)) - 1
+    placed = salted.withColumn(rank, within).join(starts, ["length", bucket]).select(*names, (F.col(rank) + F.col(first)).alias(rank))
     index = names.index("length")
 
     def run(batches):
         key = runs[:, 0] << 40 | runs[:, 1]
         for batch in batches:
-            length, rank = batch.column(index).to_numpy(zero_copy_only=False), batch.column(len(names)).to_numpy(zero_copy_only=False)
-            r = runs[np.searchsorted(key, length << 40 | rank, "right") - 1]
-            k = rank - r[:, 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(r[:, 4] + k // r[:, 3]), pa.array(r[:, 5] + k % r[:, 3] * length)], names=[*names, "sequence_id", "offset"])
+            length, ranks = batch.column(index).to_numpy(zero_copy_only=False), batch.column(len(names)).to_numpy(zero_copy_only=False)
+            r = runs[np.searchsorted(key, length << 40 | ranks, "right") - 1]
+            at = ranks - r[:, 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(r[:, 4] + at // r[:, 3]), pa.array(r[:, 5] + at % r[:, 3] * length)], names=[*names, "sequence_id", "offset"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "sequence_id long, offset long"])
+    schema = T.StructType([*rows.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     alone = rows.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.mapInArrow(run, schema).unionByName(alone)
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, text_chunks
 from .words import repeats, word_hashes
@@ -223,7 +224,7 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", score: str = "
                 s = model.score(features(data, offs))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, score, predicted])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{score} double, {predicted} int"]))
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
 
 def held_out(id_col: str = "doc_id"):
