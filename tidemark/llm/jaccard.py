@@ -48,7 +48,7 @@ SHARE, LEAST_CELLS, MOST_CELLS, SLICES = 8, 1 << 16, 1 << 27, 64
 #: A shingle is frequent if its cell holds more than so many, and more than TIMES the mean.
 FREQUENT, TIMES = 24, 4
 #: Counted shingles that a task holds before it tells them, and that a group of such rows adds up.
-HELD, ADDED = 1 << 23, 1 << 25
+HELD, ADDED = 1 << 21, 1 << 25
 #: Bits of the filter that tells a scan which documents are wanted: eight for each document, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 BLOCK = 1024
