@@ -34,14 +34,14 @@ def features(bars: DataFrame, index_bars: DataFrame, calendar: DataFrame, cfg: C
     """One row for each bar. keys: what tells a series apart; walk-forward and grids add their fold or cell."""
     atr = f"ATR{cfg.volatility.atr_period}"
     d = with_recursions(bars.select(*keys, "session_date", "open", "high", "low", "close", "volume"), cfg.ema.periods, cfg.ema.seed_method, (atr, cfg.volatility.atr_period), keys)
-    return assembled(d, weekly_context(bars, calendar, cfg, keys), index_bars, calendar, cfg, keys)
+    return assembled(d, weekly_context(bars, calendar, cfg, keys), index_bars, calendar, cfg, keys, bars)
 
 
-def assembled(d: DataFrame, weekly: DataFrame, index_bars: DataFrame, calendar: DataFrame, cfg: Config = Config(), keys=("symbol",)) -> DataFrame:
-    """Everything behind the recursions, from bars with averages and weekly bars with theirs."""
+def assembled(d: DataFrame, weekly: DataFrame, index_bars: DataFrame, calendar: DataFrame, cfg: Config = Config(), keys=("symbol",), bars: DataFrame | None = None) -> DataFrame:
+    """Everything behind the recursions, from bars with averages and weekly bars with theirs. bars: the same without."""
     atr, c = f"ATR{cfg.volatility.atr_period}", cfg.definitions
     known = weekly.select(*keys, F.col("week_end").alias("Weekly_Period_End"), *WEEKLY_EMAS, F.col("expected_week_end").alias("Weekly_Availability_Date"))
-    d = asof_series(d, market_regime(index_bars, cfg), ["Market_Regime", "index_close"], calendar)
+    d = asof_series(d, market_regime(index_bars, cfg), ["Market_Regime", "index_close"], calendar, bars)
     d = asof(d, known, "Weekly_Availability_Date", ["Weekly_Period_End", *WEEKLY_EMAS, "Weekly_Availability_Date"], keys)
     d = ind.with_crossovers(d, keys)
     d = ind.with_alignment(ind.with_alignment(d), "_W", "Weekly_State")

@@ -46,7 +46,7 @@ def cell_features(bars: DataFrame, index_bars: DataFrame, calendar: DataFrame, c
     by_period = lambda role: F.element_at(F.create_map(*[x for n in periods for x in (F.lit(n), F.col(f"p{n}"))]), F.col(role))
     roles = {"EMA10": "fast", "EMA20": "medium", "EMA89": "structural", "EMA200": "long"}
     pick = lambda df, suffix: df.crossJoin(small).withColumns({f"{e}{suffix}": by_period(r) for e, r in roles.items()}).drop(*emas, *roles.values())
-    return assembled(pick(d, ""), pick(w, "_W"), index_bars, calendar, cfg, ("cell", "symbol"))
+    return assembled(pick(d, ""), pick(w, "_W"), index_bars, calendar, cfg, ("cell", "symbol"), bars)
 
 
 def ema_sensitivity(bars: DataFrame, index_bars: DataFrame, calendar: DataFrame, cfg: Config = Config(), grid: dict | None = None, horizon: int = 20) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,13 +69,27 @@ class Market:
     def calendar(self) -> DataFrame:
         return cal.calendar_table(self.spark.read.parquet(f"{self.dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("session_date")))
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The bars, stored: for plans that read them more than once."""
+        return stored(self.bars)
+
+    @cached_property
+    def kept_index(self) -> DataFrame:
+        return stored(self.index)
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        """The calendar, stored."""
+        return stored(self.calendar)
+
     @property
     def features(self) -> DataFrame:
-        return fts.features(self.bars, self.index, self.calendar, CFG)
+        return fts.features(self.kept, self.kept_index, self.sessions, CFG)
 
     @property
     def emas(self) -> DataFrame:
-        return kernels.with_recursions(self.bars, CFG.ema.periods, "sma", ("ATR14", 14))
+        return kernels.with_recursions(self.kept, CFG.ema.periods, "sma", ("ATR14", 14))
 
     @property
     def raw(self) -> DataFrame:
@@ -174,17 +189,17 @@ def weekly_bars(m):
 
 @query(f"SELECT symbol, session_date, {R(*EMAS)} FROM d0")
 def ema_daily(m):
-    return kernels.with_recursions(m.bars, CFG.ema.periods).select(*KEY, *EMAS)
+    return kernels.with_recursions(m.kept, CFG.ema.periods).select(*KEY, *EMAS)
 
 
 @query("SELECT symbol, session_date, round(v, 6) AS ema FROM o JOIN b USING (symbol, rn)", "o AS (SELECT symbol, rn, close AS v FROM b WHERE rn = 1 UNION ALL SELECT o.symbol, o.rn + 1, (b.close - o.v) * (CAST(2 AS DOUBLE) / 21) + o.v FROM o JOIN b ON b.symbol = o.symbol AND b.rn = o.rn + 1)")
 def ema_first_obs(m):
-    return kernels.with_recursions(m.bars, {"ema": 20}, "first_obs").select(*KEY, "ema")
+    return kernels.with_recursions(m.kept, {"ema": 20}, "first_obs").select(*KEY, "ema")
 
 
 @query(f"SELECT symbol, week_end, {R(*[e + '_W' for e in EMAS])} FROM w")
 def ema_weekly(m):
-    return fts.weekly_context(m.bars, m.calendar, CFG).select("symbol", "week_end", *fts.WEEKLY_EMAS)
+    return fts.weekly_context(m.kept, m.sessions, CFG).select("symbol", "week_end", *fts.WEEKLY_EMAS)
 
 
 @query(f"SELECT symbol, session_date, round(ATR14, 6) AS ATR14, round(ATR14 / close * 100, 6) AS ATR_Pct, {', '.join(f'round((close - {e}) / ATR14, 6) AS Distance_to_{e}_ATR' for e in EMAS)} FROM d1")
@@ -259,9 +274,9 @@ def pullback_state(m):
 
 @query(f"SELECT symbol, session_date, Weekly_Period_End, {R(*[e + '_W' for e in EMAS])}, Weekly_Availability_Date FROM d2")
 def weekly_asof(m):
-    weekly = fts.weekly_context(m.bars, m.calendar, CFG)
+    weekly = fts.weekly_context(m.kept, m.sessions, CFG)
     known = weekly.select("symbol", F.col("week_end").alias("Weekly_Period_End"), *fts.WEEKLY_EMAS, F.col("expected_week_end").alias("Weekly_Availability_Date"))
-    return joins.asof(m.bars, known, "Weekly_Availability_Date", ["Weekly_Period_End", *fts.WEEKLY_EMAS, "Weekly_Availability_Date"]).select(*KEY, "Weekly_Period_End", *fts.WEEKLY_EMAS, "Weekly_Availability_Date")
+    return joins.asof(m.kept, known, "Weekly_Availability_Date", ["Weekly_Period_End", *fts.WEEKLY_EMAS, "Weekly_Availability_Date"]).select(*KEY, "Weekly_Period_End", *fts.WEEKLY_EMAS, "Weekly_Availability_Date")
 
 
 @query(f"SELECT symbol, max(week_end) AS week_end, round(arg_max(close, expected_week_end), 6) AS close FROM weekly WHERE expected_week_end <= DATE '{ANALYSIS}' GROUP BY 1")
@@ -276,12 +291,12 @@ def mtf_matrix(m):
 
 @query(f"SELECT session_date, {R('index_close', 'Index_EMA20', 'Index_EMA50', 'Index_EMA89', 'Index_EMA200')}, Market_Regime FROM regime")
 def market_regime(m):
-    return fts.market_regime(m.index, CFG)
+    return fts.market_regime(m.kept_index, CFG)
 
 
 @query("SELECT symbol, session_date, Market_Regime, round(index_close, 6) AS index_close FROM d2")
 def regime_asof(m):
-    return joins.asof_series(m.bars, fts.market_regime(m.index, CFG), ["Market_Regime", "index_close"], m.calendar).select(*KEY, "Market_Regime", "index_close")
+    return joins.asof_series(m.bars, fts.market_regime(m.kept_index, CFG), ["Market_Regime", "index_close"], m.calendar).select(*KEY, "Market_Regime", "index_close")
 
 
 def _with_index(m):
@@ -357,7 +372,7 @@ SCAN_COLUMNS = ["Rank_ID", "Symbol", "Analysis_Date", "Signal_State", "Daily_EMA
 
 
 def _scan(m):
-    return scan.scan_tables(scan.scan_rows(m.features, m.calendar, ANALYSIS, CFG))
+    return scan.scan_tables(scan.scan_rows(m.features, m.sessions, ANALYSIS, CFG))
 
 
 @query(SCAN)
@@ -394,29 +409,29 @@ EVENT_SQL = ", ".join(f"round({c}, 6) AS {c}" if c in ("entry_price", "mfe_pct",
 
 @query(f"SELECT {EVENT_SQL} FROM ev", *events_sql("OPEN"))
 def event_forward_returns(m):
-    return evs.event_study(m.features, m.calendar, CFG).select(*EVENT)
+    return evs.event_study(m.features, m.sessions, CFG).select(*EVENT)
 
 
 @query(f"SELECT {EVENT_SQL} FROM ev", *events_sql("CLOSE"))
 def event_forward_returns_close(m):
     from dataclasses import replace
 
-    return evs.event_study(m.features, m.calendar, replace(CFG, execution_model="next_close")).select(*EVENT)
+    return evs.event_study(m.features, m.sessions, replace(CFG, execution_model="next_close")).select(*EVENT)
 
 
 @query(f"SELECT entry_model, {stats_sql('fwd_ret_20d')}, {stats_sql('fwd_ret_20d_net', 'net_')}, round(avg(mfe_pct), 6) AS avg_mfe_pct, round(avg(mae_pct), 6) AS avg_mae_pct FROM ev GROUP BY 1", *events_sql())
 def comparison_table(m):
-    return evs.comparison_table(evs.event_study(m.features, m.calendar, CFG))
+    return evs.comparison_table(evs.event_study(m.features, m.sessions, CFG))
 
 
 @query(f"SELECT entry_model, market_regime, {stats_sql('fwd_ret_20d')} FROM ev WHERE market_regime IS NOT NULL GROUP BY 1, 2", *events_sql())
 def regime_breakdown(m):
-    return evs.regime_breakdown(evs.event_study(m.features, m.calendar, CFG))
+    return evs.regime_breakdown(evs.event_study(m.features, m.sessions, CFG))
 
 
 @query("SELECT entry_model, symbol, count(*) AS n_events, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY entry_model), 6) AS share_pct FROM ev GROUP BY 1, 2", *events_sql())
 def concentration(m):
-    return evs.concentration(evs.event_study(m.features, m.calendar, CFG))
+    return evs.concentration(evs.event_study(m.features, m.sessions, CFG))
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, count(*) AS n FROM f WHERE {a} AND {b}" for i, a in enumerate(ind.ENTRIES.values()) for b in list(ind.ENTRIES.values())[i + 1 :]))
@@ -516,18 +531,18 @@ TESTS = "tests AS MATERIALIZED (SELECT * FROM (VALUES (1, DATE '1998-01-02', DAT
 @query(f"SELECT CAST(fold AS BIGINT) AS fold, entry_model, {stats_sql('fwd_ret_20d')} FROM ev GROUP BY 1, 2", TESTS, "inside AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY fold, symbol) AS k FROM f JOIN tests ON session_date >= test_start AND session_date < test_end) WHERE k > 30)", *events_sql("OPEN", "inside", "fold, symbol"))
 def walk_forward_mode1(m):
     table = research.fold_table(m.spark, dt.date(1995, 1, 2), dt.date(2001, 11, 4))
-    return research.walk_forward_fixed(m.features, m.calendar, table, CFG).drop("mode", "test_start", "test_end")
+    return research.walk_forward_fixed(m.features, m.sessions, table, CFG).drop("mode", "test_start", "test_end")
 
 
 @query()
 def walk_forward_mode2(m):
     table = research.fold_table(m.spark, dt.date(1995, 1, 2), dt.date(2001, 11, 4))
-    return research.walk_forward_selected(m.bars, m.index, m.calendar, table, [(10, 20, 89, n) for n in (180, 200, 220)], CFG)
+    return research.walk_forward_selected(m.kept, m.kept_index, m.sessions, table, [(10, 20, 89, n) for n in (180, 200, 220)], CFG)
 
 
 @query()
 def ema_sensitivity(m):
-    return research.ema_sensitivity(m.bars, m.index, m.calendar, CFG)
+    return research.ema_sensitivity(m.kept, m.kept_index, m.sessions, CFG)
 
 
 @query(f"SELECT round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(v) - min(v), 6) AS spread, arg_max(symbol, v) AS best FROM (SELECT symbol, avg(close) AS v FROM bars GROUP BY 1)")
@@ -545,27 +560,27 @@ SCENARIOS = {"default": {}, "fixed_20": {"exit_rule": "FIXED_HORIZON"}, "entry_a
 
 @query()
 def backtest_trades(m):
-    return bt.trades(bt.run_backtests(m.features, m.calendar, CFG, SCENARIOS))
+    return bt.trades(bt.run_backtests(m.features, m.sessions, CFG, SCENARIOS))
 
 
 @query()
 def backtest_equity(m):
-    return bt.equity(bt.run_backtests(m.features, m.calendar, CFG, SCENARIOS))
+    return bt.equity(bt.run_backtests(m.features, m.sessions, CFG, SCENARIOS))
 
 
 @query()
 def backtest_skips(m):
-    return bt.skipped(bt.run_backtests(m.features, m.calendar, CFG, SCENARIOS))
+    return bt.skipped(bt.run_backtests(m.features, m.sessions, CFG, SCENARIOS))
 
 
 @query()
 def backtest_stats(m):
-    result = bt.run_backtests(m.features, m.calendar, CFG, SCENARIOS)
+    result = bt.run_backtests(m.features, m.sessions, CFG, SCENARIOS)
     return stats.portfolio_stats(bt.equity(result), bt.trades(result), keys=("scenario",))
 
 
 def _returns(m):
-    return evs.event_study(m.features, m.calendar, CFG).select("symbol", "execution_date", "fwd_ret_20d")
+    return evs.event_study(m.features, m.sessions, CFG).select("symbol", "execution_date", "fwd_ret_20d")
 
 
 @query()
