@@ -1,13 +1,12 @@
-"""Statistics of returns and equity curves, and cluster bootstraps."""
+"""Statistics of returns and equity curves; bootstraps are in a module of their own."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from .bootstrap import cluster_bootstrap, two_way_bootstrap  # noqa: F401
 
 STATS = ("n_trades", "win_rate_pct", "avg_return_pct", "median_return_pct", "std_return_pct", "profit_factor", "expectancy_pct", "avg_win_pct", "avg_loss_pct", "best_trade_pct", "worst_trade_pct", "skew")
 
@@ -61,76 +60,3 @@ def portfolio_stats(equity: DataFrame, trades: DataFrame | None = None, risk_fre
         out = out.join(sums, list(keys), "left") if keys else out.crossJoin(F.broadcast(sums))  # one row each
         out = out.withColumns({"trade_frequency_per_year": F.try_divide("trade_count", "_years"), "notional_turnover_pct": F.try_divide(F.col("_notional") * 100, F.col("_avg"))}).drop("_notional")
     return out.drop("_years", "_mean", "_std", "_down", "_avg")
-
-
-def cluster_bootstrap(events: DataFrame, column: str, cluster: str, replicates: int = 2000, seed: int = 42, level: float = 0.95, block: int = 100) -> DataFrame:
-    """Percentile interval of the mean under resampling of whole clusters.
-
-    Clusters are reduced to sum and count first. Blocks of replicates are tasks of their own; each draws its clusters by
-    counts that seed and block determine."""
-    sums = events.where(F.col(column).isNotNull()).groupBy(cluster).agg(F.sum(column).alias("s"), F.count(column).alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).cast("string").alias("c"), "s", "n"))).alias("all"))
-    blocks = events.sparkSession.range(-(-replicates // block)).withColumnRenamed("id", "block")
-
-    def run(batches):
-        for pdf in batches:
-            for b, all_ in zip(pdf["block"], pdf["all"]):
-                s, n = np.array([x["s"] for x in all_]), np.array([x["n"] for x in all_])
-                k = min(block, replicates - b * block)
-                if not len(s):
-                    continue
-                draw = np.random.default_rng([seed, int(b)]).integers(0, len(s), (k, len(s)))
-                yield pd.DataFrame({"mean": s[draw].sum(1) / n[draw].sum(1)})
-
-    # one row of cluster sums joins each block of replicates
-    means = blocks.repartition(8).crossJoin(F.broadcast(sums)).mapInPandas(run, "mean double")
-    half = (1 - level) / 2
-    ci = means.agg(F.percentile("mean", F.lit(half)).alias("ci_low"), F.percentile("mean", F.lit(1 - half)).alias("ci_high"), F.count("mean").alias("replicates"))
-    point = events.agg(F.avg(column).alias("mean_return_pct"), F.count_distinct(F.when(F.col(column).isNotNull(), F.col(cluster))).alias("n_clusters"))
-    return point.crossJoin(ci)
-
-
-def two_way_bootstrap(events: DataFrame, column: str, ticker: str = "symbol", date: str = "execution_date", replicates: int = 2000, seed: int = 42, level: float = 0.95, block: int = 100) -> DataFrame:
-    """The widest bounds of resampling tickers, dates, and both at once (rows of drawn tickers on drawn dates).
-
-    A row's weight in the last is whether its ticker and its date are drawn, so sums by (ticker, date) suffice; where no
-    row has both, the rows of the drawn tickers count. Each task adds up its cells for every replicate. replicates is
-    the number of means behind the last interval. The events are stored first, as each part reads them again."""
-    events = stored(events.select(ticker, date, column))
-    a = cluster_bootstrap(events, column, ticker, replicates, seed, level, block)
-    b = cluster_bootstrap(events, column, date, replicates, seed + 1, level, block)
-    cells = events.where(F.col(column).isNotNull()).groupBy(ticker, date).agg(F.sum(column).alias("s"), F.count(column).alias("n"))
-
-    def numbered(key, place, count):
-        keys = cells.agg(F.array_sort(F.collect_set(key)).alias("_keys"))
-        return keys.select(F.size("_keys").alias(count), F.posexplode("_keys").alias(place, key))
-
-    cells = cells.join(numbered(ticker, "t", "tickers"), ticker).join(numbered(date, "d", "dates"), date).select("t", "d", "s", "n", "tickers", "dates")
-
-    def drawn(rng, k, n):
-        out = np.zeros((k, n), bool)
-        out[np.arange(k)[:, None], rng.integers(0, n, (k, n))] = True
-        return out
-
-    def run(batches):
-        draws, sums = [], np.zeros((replicates, 4))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if not draws:
-                for lo in range(0, replicates, block):
-                    rng, k = np.random.default_rng([seed + 2, lo // block]), min(block, replicates - lo)
-                    draws.append((lo, drawn(rng, k, int(pdf["tickers"].iat[0])), drawn(rng, k, int(pdf["dates"].iat[0]))))
-            t, d, values = pdf["t"].to_numpy(), pdf["d"].to_numpy(), pdf[["s", "n"]].to_numpy(float)
-            for lo, tickers, dates in draws:
-                one = tickers[:, t]
-                sums[lo : lo + len(one)] += np.hstack([(one & dates[:, d]) @ values, one @ values])
-        if draws:
-            yield pd.DataFrame(sums, columns=["s", "n", "ticker_s", "ticker_n"]).assign(replicate=np.arange(replicates))
-
-    parts = cells.mapInPandas(run, "s double, n double, ticker_s double, ticker_n double, replicate long")
-    sums = parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("s", "n", "ticker_s", "ticker_n")])
-    means = sums.select(F.when(F.col("n") > 0, F.try_divide("s", "n")).otherwise(F.try_divide("ticker_s", "ticker_n")).alias("mean"))
-    half = (1 - level) / 2
-    c = means.agg(F.percentile("mean", F.lit(half)).alias("c_low"), F.percentile("mean", F.lit(1 - half)).alias("c_high"), F.count("mean").alias("replicates"))
-    both = a.drop("replicates").crossJoin(b.select(F.col("ci_low").alias("b_low"), F.col("ci_high").alias("b_high"))).crossJoin(c)
-    return both.select("mean_return_pct", F.least("ci_low", "b_low", "c_low").alias("ci_low"), F.greatest("ci_high", "b_high", "c_high").alias("ci_high"), F.col("ci_low").alias("ticker_low"), F.col("ci_high").alias("ticker_high"), F.col("b_low").alias("date_low"), F.col("b_high").alias("date_high"), F.col("c_low").alias("both_low"), F.col("c_high").alias("both_high"), "replicates")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows, stored, with `index`: their place by `order` from 0. They are sorted in ranges, and a table with a row for each range says how many rows lie before."""
+    low = (1 << 33) - 1  # an id is the partition's number, then the row's place in it
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).select("*", F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(low).alias("_row")).drop("_id"))
+    ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return placed.join(ranges.select("_range", before.alias("_before")), "_range").withColumn("index", F.col("_before") + F.col("_row")).drop("_range", "_row", "_before")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what stored() wrote for these tables. Nothing that is still to be computed may read them."""
     for t in tables:
