@@ -19,6 +19,7 @@ from .plans import research, scan
 from .sources import bars as src
 from .sources import calendar as cal
 from .sources import repository as rep
+from .sources import sessions as ses
 from .sources.shared import shared_dir, stored
 
 CFG = Config()
@@ -156,11 +157,59 @@ def holiday_differences(m):
 
 @query("SELECT max(session_date) AS analysis_date, 'AUTOMATIC' AS mode FROM cal WHERE session_date <= DATE '2001-06-14'")
 def analysis_date(m):
-    sessions = m.calendar.select("session_date", F.lit("15:30").alias("close_time"))
+    table = ses.session_table(m.calendar).where("is_trading_day")
+    sessions = table.select("session_date", F.date_format(F.from_utc_timestamp("session_close", ses.ZONE), "HH:mm").alias("close_time"))
     found = cal.resolve_analysis_date(sessions, dt.datetime(2001, 6, 15, 15, 45))
     return m.spark.createDataFrame([(found.date, found.mode)], "analysis_date date, mode string")
 
 
+#: A made-up fact for each supplier, some of them wrong: its date, kind and times follow from the supplier's numbers.
+FACTS = """SELECT {date} AS session_date, s_nationkey % 3 <> 0 AS is_trading_day, CASE WHEN s_nationkey % 3 = 0 THEN CASE WHEN s_nationkey = 12 THEN 'SPECIAL' ELSE 'HOLIDAY' END WHEN s_nationkey = 13 THEN 'PARTY' ELSE 'SPECIAL' END AS session_type,
+CASE WHEN s_nationkey IN (2, 5, 8, 11) THEN '18:15' WHEN s_nationkey = 14 THEN '19:30' END AS session_open, CASE WHEN s_nationkey IN (2, 5, 11, 14) THEN '19:15' END AS session_close, s_nationkey IN (2, 5, 8, 14) AS timing_verified,
+s_name AS source, {date} AS verified_at, s_acctbal > 5000 AS official_document_verified, s_name AS calendar_version FROM supplier"""
+_SPARK_DATE, _DUCK_DATE = "date_add(DATE '1995-01-01', CAST(s_suppkey * 37 % 2500 AS INT))", "DATE '1995-01-01' + CAST(s_suppkey * 37 % 2500 AS INT)"
+REASONS = "list_filter([CASE WHEN session_type = 'PARTY' THEN 'UNKNOWN_TYPE' END, CASE WHEN NOT timing_verified AND (session_open IS NOT NULL OR session_close IS NOT NULL) THEN 'UNVERIFIED_TIME' END, CASE WHEN timing_verified AND (session_open IS NULL OR session_close IS NULL) THEN 'TIME_MISSING' END, CASE WHEN session_close <= session_open THEN 'CLOSES_BEFORE_OPENING' END, CASE WHEN NOT is_trading_day AND session_type <> 'HOLIDAY' THEN 'CLOSED_BUT_NO_HOLIDAY' END], lambda x: x IS NOT NULL)"
+SESSIONS = [f"facts AS MATERIALIZED (SELECT *, {REASONS} AS reasons FROM ({FACTS.format(date=_DUCK_DATE)}))", "acts AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY official_document_verified DESC, verified_at DESC, calendar_version DESC) AS k FROM facts WHERE len(reasons) = 0) WHERE k = 1)",
+    "tab AS MATERIALIZED (SELECT coalesce(c.session_date, a.session_date) AS day, coalesce(a.is_trading_day, true) AS trading, CASE WHEN a.session_date IS NULL THEN '09:15' WHEN a.is_trading_day THEN session_open END AS o, CASE WHEN a.session_date IS NULL THEN '15:30' WHEN a.is_trading_day THEN session_close END AS c, a.session_date IS NOT NULL AND a.is_trading_day AS special FROM (SELECT session_date FROM cal) AS c FULL JOIN acts AS a ON a.session_date = c.session_date)"]
+
+
+def _facts(m):
+    m.spark.read.parquet(f"{m.dir}/supplier.parquet").createOrReplaceTempView("tidemark_supplier")
+    rows = m.spark.sql(FACTS.format(date=_SPARK_DATE).replace("FROM supplier", "FROM tidemark_supplier"))
+    return rows.withColumns({"source_url": F.lit(None).cast("string"), "note": F.lit(None).cast("string")})
+
+
+@query("SELECT source, session_date, session_type, array_to_string(reasons, ',') AS reasons FROM facts", *SESSIONS)
+def special_sessions(m):
+    return ses.validate(_facts(m)).select("source", "session_date", "session_type", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("SELECT d.session_date, coalesce(trading, false) AS is_trading_day, day || ' ' || o AS session_open, day || ' ' || c AS session_close, coalesce(special, false) AS is_special, coalesce(trading, false) AND o IS NOT NULL AND c IS NOT NULL AS has_verified_timing FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session_date FROM orders UNION SELECT session_date FROM facts) AS d LEFT JOIN tab ON day = session_date", *SESSIONS)
+def session_info(m):
+    """Of every order's date and every fact's."""
+    facts = _facts(m)
+    dates = m.spark.read.parquet(f"{m.dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date")).unionByName(facts.select(F.col("session_date").alias("date")))
+    told = ses.session_info(dates, ses.session_table(m.calendar, facts))
+    local = lambda c: F.date_format(F.from_utc_timestamp(c, ses.ZONE), "yyyy-MM-dd HH:mm").alias(c)
+    return told.select("session_date", "is_trading_day", local("session_open"), local("session_close"), "is_special", "has_verified_timing")
+
+
+ASKS = "SELECT o_orderkey AS ask, {date} AS today, o_orderkey * 37 % 1440 AS minute, CASE o_orderpriority WHEN '1-URGENT' THEN {date} WHEN '2-HIGH' THEN {later} WHEN '3-MEDIUM' THEN {earlier} END AS manual FROM orders"
+
+
+@query("""SELECT ask, CASE WHEN error IS NULL THEN day END AS analysis_date, mode, error FROM (SELECT *, CASE WHEN manual > today THEN 'FUTURE' WHEN manual IS NOT NULL AND NOT coalesce(on_day, false) THEN 'NO_SESSION' WHEN day IS NOT NULL THEN NULL WHEN manual IS NULL THEN 'NONE' WHEN close IS NULL THEN 'UNVERIFIED_TIMING' ELSE 'NOT_ENDED' END AS error, CASE WHEN manual IS NULL THEN 'AUTOMATIC' ELSE 'MANUAL' END AS mode
+FROM (SELECT a.*, t.trading AS on_day, t.c AS close, CASE WHEN manual IS NULL THEN CASE WHEN here.trading AND here.c IS NOT NULL AND minute >= 960 AND printf('%02d:%02d', minute // 60, minute % 60) >= here.c THEN today ELSE CASE WHEN past.day >= today - 30 THEN past.day END END WHEN t.trading AND (manual < today OR manual = today AND t.c IS NOT NULL AND minute >= 960 AND printf('%02d:%02d', minute // 60, minute % 60) >= t.c) THEN manual END AS day
+FROM asks AS a LEFT JOIN tab AS t ON t.day = a.manual LEFT JOIN tab AS here ON here.day = a.today ASOF LEFT JOIN (SELECT * FROM tab WHERE trading) AS past ON a.today > past.day))""",
+       *SESSIONS, "asks AS MATERIALIZED (" + ASKS.format(date="CAST(o_orderdate AS DATE)", later="CAST(o_orderdate AS DATE) + 1", earlier="CAST(o_orderdate AS DATE) - CAST(o_custkey % 40 AS INT)") + ")")
+def analysis_dates(m):
+    """For every order the session of a scan at its date and a minute of that day, some for a date asked for by hand."""
+    m.spark.read.parquet(f"{m.dir}/orders.parquet").createOrReplaceTempView("tidemark_orders")
+    asks = m.spark.sql(ASKS.format(date="to_date(o_orderdate)", later="date_add(to_date(o_orderdate), 1)", earlier="date_sub(to_date(o_orderdate), CAST(o_custkey % 40 AS INT))").replace("FROM orders", "FROM tidemark_orders"))
+    now = F.to_utc_timestamp(F.timestamp_micros((F.unix_date("today") * 1440 + F.col("minute")) * 60_000_000), ses.ZONE)
+    found = ses.analysis_dates(asks.select("ask", now.alias("now"), "manual"), ses.session_table(m.calendar, _facts(m)))
+    return found.select("ask", "analysis_date", "mode", "error")
+
+
 @query("SELECT CAST(3050 AS BIGINT) AS sessions, (SELECT min(session_date) FROM cal) AS start, (SELECT session_date FROM cal WHERE session_no = (SELECT max(session_no) FROM cal WHERE session_date <= DATE '2001-06-15') - 800) AS start_short")
 def warmup_window(m):
     c, day = m.calendar, dt.date(2001, 6, 15)
