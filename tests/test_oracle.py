@@ -9,7 +9,7 @@ from tidemark.queries import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: Fixed dates or rows in their SQL that the smallest tables don't have.
-ELSEWHERE = {"walk_forward_folds", "swings_as_of", "valid_sessions", "split_adjusted", "quality_tally", "warmup_window", "analysis_date"}
+ELSEWHERE = {"swings_as_of", "valid_sessions", "split_adjusted", "quality_tally", "warmup_window", "analysis_date"}
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_date
-from ..sources.calendar import week_of
+from ..sources.calendar import filled, week_of
 
 
 def weekly_bars(daily: DataFrame, week_ends: DataFrame | None = None, keys=("symbol",)) -> DataFrame:
@@ -41,12 +41,11 @@ def asof(left: DataFrame, right: DataFrame, right_date: str, payload: list[str],
 def asof_series(left: DataFrame, right: DataFrame, payload: list[str], calendar: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """As-of for a right side with one row for each date at most (an index): filled over the calendar, then joined by date.
 
-    The filled table has a row for each session, so Spark may broadcast it by its own size check. dates: the dates of left
+    The filled table has a row for each day, so Spark may broadcast it by its own size check. dates: the dates of left
     from a plan that is cheaper to read than left itself."""
     days = calendar.select("session_date").unionByName((left if dates is None else dates).select("session_date")).unionByName(right.select("session_date")).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
-    filled = days.join(right.select("session_date", F.struct(*payload).alias("_r")), "session_date", "left").withColumn("_r", F.last("_r", ignorenulls=True).over(order))
-    return left.join(filled.select("session_date", *[F.col(f"_r.{p}").alias(p) for p in payload]), "session_date", "left")
+    known = filled(days.join(right.select("session_date", F.struct(*payload).alias("_r")), "session_date", "left"), "_r")
+    return left.join(known.select("session_date", *[F.col(f"_r.{p}").alias(p) for p in payload]), "session_date", "left")
 
 
 def weekly_as_of(weekly: DataFrame, as_of: str, keys=("symbol",)) -> DataFrame:

@@ -11,14 +11,13 @@ MODES = ("RAW", "SPLIT_ADJUSTED", "EXECUTION")
 def split_factors(raw: DataFrame, as_of: str | None = None, keys=("symbol",)) -> DataFrame:
     """raw with factor, the product of 1 / ratio of all later splits dated as_of at the latest.
 
-    Splits are few: they are gathered behind each row as an array and multiplied in order of date, latest first."""
+    A running product from the last bar back: linear in the bars."""
     split = F.col("stock_splits")
     counts = split.isNotNull() & (split != 0)
     if as_of:
         counts = counts & (F.col("session_date") <= F.lit(as_of).cast("date"))
-    later = Window.partitionBy(*keys).orderBy("session_date").rowsBetween(1, Window.unboundedFollowing)
-    ratios = F.collect_list(F.when(counts, split)).over(later)
-    return raw.withColumn("factor", F.aggregate(F.reverse(ratios), F.lit(1.0), lambda a, r: a * (1 / r)))
+    later = Window.partitionBy(*keys).orderBy(F.desc("session_date")).rowsBetween(Window.unboundedPreceding, -1)
+    return raw.withColumn("factor", F.coalesce(F.product(F.when(counts, 1 / split)).over(later), F.lit(1.0)))
 
 
 def adjusted(raw: DataFrame, mode: str = "SPLIT_ADJUSTED", as_of: str | None = None, keys=("symbol",)) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import costs, stats
-from .oracle import events_sql, sql, stats_sql
+from .oracle import events_sql, picked, recursive_ema, sql, stats_sql
 from .operators import checks, indicators as ind, joins, kernels, prices
 from .plans import backtest as bt
 from .plans import events as evs
@@ -126,9 +126,10 @@ def expected_week_ends(m):
 
 
 @query("""SELECT d.date, (SELECT max(session_date) FROM cal WHERE session_date < d.date AND session_date >= d.date - 30) AS prev_session, (SELECT min(session_date) FROM cal WHERE session_date > d.date AND session_date <= d.date + 30) AS next_session
-FROM (SELECT CAST(x AS DATE) AS date FROM generate_series(DATE '1995-01-01', DATE '2002-01-31', INTERVAL 3 DAY) AS g(x)) AS d""")
+FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) AS d""")
 def session_neighbours(m):
-    dates = m.spark.sql("SELECT explode(sequence(DATE '1995-01-01', DATE '2002-01-31', INTERVAL 3 DAYS)) AS date")
+    """Of every date on which something was ordered."""
+    dates = m.spark.read.parquet(f"{m.dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date"))
     return cal.neighbours(dates, m.calendar).select("date", "prev_session", "next_session")
 
 
@@ -148,11 +149,14 @@ def valid_sessions(m):
     return cal.with_overrides(m.calendar, over, "1998-01-01", "1998-06-30")
 
 
-@query("PLAIN SELECT * FROM (VALUES (DATE '2001-01-01', 'calendar'), (DATE '2001-03-09', 'reference')) AS t(holiday, only_in)")
+@query("""SELECT day AS holiday, CASE WHEN s.session_date IS NULL THEN 'calendar' ELSE 'reference' END AS only_in FROM (SELECT CAST(x AS DATE) AS day FROM (SELECT min(session_date) AS a, max(session_date) AS b FROM cal), LATERAL (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS x)) LEFT JOIN cal AS s ON s.session_date = day LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS o FROM orders) ON o = day
+WHERE isodow(day) < 6 AND (s.session_date IS NULL) <> (o IS NULL)""")
 def holiday_differences(m):
-    a = m.spark.sql("SELECT * FROM VALUES (DATE '2001-01-01'), (DATE '2001-01-06'), (DATE '2001-05-01') AS t(holiday)")
-    b = m.spark.sql("SELECT * FROM VALUES (DATE '2001-05-01'), (DATE '2001-03-09'), (DATE '2001-03-10') AS t(holiday)")
-    return cal.holiday_differences(a, b)
+    """Weekdays without a session, as the calendar has them, against weekdays without an order."""
+    sessions, ordered = m.sessions.select("session_date"), m.spark.read.parquet(f"{m.dir}/orders.parquet").select(F.to_date("o_orderdate").alias("session_date"))
+    days = sessions.agg(F.min("session_date").alias("a"), F.max("session_date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("session_date"))
+    off = lambda df: days.join(df.distinct(), "session_date", "left_anti").select(F.col("session_date").alias("holiday"))
+    return cal.holiday_differences(off(sessions), off(ordered))
 
 
 @query("SELECT max(session_date) AS analysis_date, 'AUTOMATIC' AS mode FROM cal WHERE session_date <= DATE '2001-06-14'")
@@ -216,9 +220,19 @@ def warmup_window(m):
     return m.spark.createDataFrame([(cal.required_warmup(), cal.warmup_start(c, day, cal.required_warmup()), cal.warmup_start(c, day, 800))], "sessions long, start date, start_short date")
 
 
-@query("""PLAIN SELECT CAST(i + 1 AS BIGINT) AS fold, CAST(DATE '1995-01-02' + to_years(i) AS DATE) AS train_start, CAST(DATE '1998-01-02' + to_years(i) AS DATE) AS train_end, CAST(DATE '1998-01-02' + to_years(i) AS DATE) AS test_start, least(CAST(DATE '1999-01-02' + to_years(i) AS DATE), DATE '2001-11-04') AS test_end FROM (SELECT CAST(x AS INT) AS i FROM range(4) AS g(x))""")
+FOLDS = """folds AS MATERIALIZED (SELECT CAST(i + 1 AS BIGINT) AS fold, CAST(a + to_years(i) AS DATE) AS train_start, CAST(a + to_years(i + 3) AS DATE) AS train_end, CAST(a + to_years(i + 3) AS DATE) AS test_start, least(CAST(a + to_years(i + 4) AS DATE), b) AS test_end
+FROM (SELECT min(session_date) AS a, max(session_date) AS b FROM bars), (SELECT CAST(x AS INT) AS i FROM range(200) AS g(x)) WHERE a + to_years(i + 3) < b)"""
+
+
+def _folds(m):
+    """Folds over all bars, from the first session to the last."""
+    first, last = m.kept.agg(F.min("session_date"), F.max("session_date")).first()
+    return research.fold_table(m.spark, first, last)
+
+
+@query("SELECT * FROM folds", FOLDS)
 def walk_forward_folds(m):
-    return research.fold_table(m.spark, dt.date(1995, 1, 2), dt.date(2001, 11, 4))
+    return _folds(m)
 
 
 @query("SELECT x.symbol, cal.session_date FROM (SELECT symbol, min(session_date) AS a, max(session_date) AS b FROM bars GROUP BY 1) AS x JOIN cal ON cal.session_date BETWEEN a AND b LEFT JOIN bars USING (symbol, session_date) WHERE bars.close IS NULL")
@@ -551,11 +565,14 @@ def cross_check(m):
     return joins.cross_check(m.bars, other).select(*KEY, "field", "value_a", "value_b", "diff_pct", "status")
 
 
-@query("""SELECT d.security_id, d.date, h.symbol FROM (SELECT s AS security_id, CAST(x AS DATE) AS date FROM (VALUES ('S1'), ('S2')) AS v(s), generate_series(DATE '1999-12-01', DATE '2000-03-01', INTERVAL 1 DAY) AS g(x)) AS d
-LEFT JOIN (VALUES ('S1', 'OLD', DATE '1990-01-01', DATE '1999-12-31'), ('S1', 'NEW', DATE '2000-01-01', NULL), ('S2', 'TWO', DATE '2000-02-01', DATE '2000-02-15')) AS h(security_id, symbol, valid_from, valid_to) ON h.security_id = d.security_id AND d.date >= h.valid_from AND d.date <= coalesce(h.valid_to, DATE '9999-12-31')""")
+@query("""SELECT d.security_id, d.date, h.symbol FROM (SELECT DISTINCT user_id AS security_id, CAST(ts AS DATE) + CAST(event_id % 9 AS INT) - 4 AS date FROM events) AS d
+LEFT JOIN (SELECT *, lead(valid_from) OVER (PARTITION BY security_id ORDER BY valid_from) - 1 AS until FROM (SELECT user_id AS security_id, CAST(ts AS DATE) AS valid_from, max(event_type) AS symbol FROM events GROUP BY 1, 2)) AS h ON h.security_id = d.security_id AND d.date >= valid_from AND d.date <= coalesce(until, DATE '9999-12-31')""")
 def security_master(m):
-    history = m.spark.sql("SELECT * FROM VALUES ('S1', 'OLD', DATE '1990-01-01', DATE '1999-12-31'), ('S1', 'NEW', DATE '2000-01-01', NULL), ('S2', 'TWO', DATE '2000-02-01', DATE '2000-02-15') AS t(security_id, symbol, valid_from, valid_to)")
-    dates = m.spark.sql("SELECT s AS security_id, explode(sequence(DATE '1999-12-01', DATE '2000-03-01')) AS date FROM VALUES ('S1'), ('S2') AS t(s)")
+    """What each user's last event was called, as a history of symbols, at dates around every event."""
+    events = m.spark.read.parquet(f"{m.dir}/events.parquet").select(F.col("user_id").alias("security_id"), F.to_date("ts").alias("valid_from"), F.col("event_type").alias("symbol"), "event_id")
+    names = events.groupBy("security_id", "valid_from").agg(F.max("symbol").alias("symbol"))
+    history = names.withColumn("valid_to", F.date_sub(F.lead("valid_from").over(Window.partitionBy("security_id").orderBy("valid_from")), 1))
+    dates = events.select("security_id", F.date_add("valid_from", (F.col("event_id") % 9 - 4).cast("int")).alias("date"))
     return joins.symbol_as_of(dates, history)
 
 
@@ -565,28 +582,25 @@ def position_sizing(m):
     return m.bars.select(*KEY, sized.alias("s")).select(*KEY, "s.qty", "s.reason")
 
 
-@query("PLAIN SELECT scenario, round(m * (0.03 + 0.10 + 0.00345 + (0.03 + 0.00345) * 0.18 + 0.05) / 100, 10) AS buy, round(m * (0.03 + 0.10 + 0.00345 + (0.03 + 0.00345) * 0.18 + 0.05) / 100, 10) AS sell, round(2 * m * (0.03 + 0.10 + 0.00345 + (0.03 + 0.00345) * 0.18 + 0.05) / 100, 10) AS round_trip FROM (VALUES ('zero_cost', CAST(0 AS DOUBLE)), ('low_cost', 0.5), ('base_cost', 1), ('high_cost', 2), ('stress_cost', 3)) AS t(scenario, m)")
-def _cost_scenarios(m):
-    return m.spark.createDataFrame(evs.costs_table(), "scenario string, buy double, sell double, round_trip double").select("scenario", *[F.round(c, 10).alias(c) for c in ("buy", "sell", "round_trip")])
+_LEG = "m * (0.03 + 0.10 + 0.00345 + (0.03 + 0.00345) * 0.18 + 0.05) / 100"
 
 
-QUERIES["cost_scenarios"] = lambda spark, sf_dir: _cost_scenarios(Market(spark, sf_dir))
-SQL["cost_scenarios"] = SQL.pop("_cost_scenarios")
-del QUERIES["_cost_scenarios"]
+@query(f"""SELECT symbol, scenario, round(v, 6) AS turnover, round(v * {_LEG}, 6) AS buy, round(v * {_LEG}, 6) AS sell, round(v * 2 * {_LEG}, 6) AS round_trip FROM (SELECT symbol, avg(close * volume) AS v FROM bars GROUP BY 1), (VALUES ('zero_cost', CAST(0 AS DOUBLE)), ('low_cost', 0.5), ('base_cost', 1), ('high_cost', 2), ('stress_cost', 3)) AS t(scenario, m)""")
+def cost_scenarios(m):
+    """What it costs, in each scenario, to trade what is traded of each symbol on a mean day."""
+    traded = m.bars.groupBy("symbol").agg(F.avg(F.col("close") * F.col("volume")).alias("turnover"))
+    legs = m.spark.createDataFrame(evs.costs_table(), "scenario string, b double, s double, r double")  # five rows
+    return traded.crossJoin(F.broadcast(legs)).select("symbol", "scenario", "turnover", *[(F.col("turnover") * F.col(c)).alias(name) for c, name in (("b", "buy"), ("s", "sell"), ("r", "round_trip"))])
 
-TESTS = "tests AS MATERIALIZED (SELECT * FROM (VALUES (1, DATE '1998-01-02', DATE '1999-01-02'), (2, DATE '1999-01-02', DATE '2000-01-02'), (3, DATE '2000-01-02', DATE '2001-01-02'), (4, DATE '2001-01-02', DATE '2001-11-04')) AS t(fold, test_start, test_end))"
 
-
-@query(f"SELECT CAST(fold AS BIGINT) AS fold, entry_model, {stats_sql('fwd_ret_20d')} FROM ev GROUP BY 1, 2", TESTS, "inside AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY fold, symbol) AS k FROM f JOIN tests ON session_date >= test_start AND session_date < test_end) WHERE k > 30)", *events_sql("OPEN", "inside", "fold, symbol"))
+@query(f"SELECT CAST(fold AS BIGINT) AS fold, entry_model, {stats_sql('fwd_ret_20d')} FROM ev GROUP BY 1, 2", FOLDS, "inside AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY fold, symbol) AS k FROM f JOIN folds ON session_date >= test_start AND session_date < test_end) WHERE k > 30)", *events_sql("OPEN", "inside", "fold, symbol"))
 def walk_forward_mode1(m):
-    table = research.fold_table(m.spark, dt.date(1995, 1, 2), dt.date(2001, 11, 4))
-    return research.walk_forward_fixed(m.features, m.sessions, table, CFG).drop("mode", "test_start", "test_end")
+    return research.walk_forward_fixed(m.features, m.sessions, _folds(m), CFG).drop("mode", "test_start", "test_end")
 
 
 @query()
 def walk_forward_mode2(m):
-    table = research.fold_table(m.spark, dt.date(1995, 1, 2), dt.date(2001, 11, 4))
-    return research.walk_forward_selected(m.kept, m.kept_index, m.sessions, table, [(10, 20, 89, n) for n in (180, 200, 220)], CFG)
+    return research.walk_forward_selected(m.kept, m.kept_index, m.sessions, _folds(m), [(10, 20, 89, n) for n in (180, 200, 220)], CFG)
 
 
 @query()
@@ -599,9 +613,18 @@ def plateau(m):
     return research.plateau(m.bars.groupBy("symbol").agg(F.avg("close").alias("v")), "v", "symbol")
 
 
-@query("PLAIN SELECT CAST(a AS BIGINT) AS fast, CAST(b AS BIGINT) AS slow FROM (VALUES (8), (10), (12)) AS x(a), (VALUES (18), (20)) AS y(b)")
+GRID_PERIODS = {f"p{n}": n for n in (8, 10, 12, 18, 20)}
+
+
+@query("SELECT CAST(a AS BIGINT) AS fast, CAST(b AS BIGINT) AS slow, count(*) AS bars, count(*) FILTER (WHERE x > y) AS above, round(avg((x / y - 1) * 100), 6) AS gap_pct FROM (SELECT a, b, CASE a WHEN 8 THEN p8 WHEN 10 THEN p10 ELSE p12 END AS x, CASE b WHEN 18 THEN p18 ELSE p20 END AS y FROM gp, (VALUES (8), (10), (12)) AS f(a), (VALUES (18), (20)) AS g(b)) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2",
+       recursive_ema("ge", "b", GRID_PERIODS.values()), picked("gp", "b", "ge", GRID_PERIODS))
 def parameter_grid(m):
-    return research.evaluate_grid(m.spark, {"fast": (8, 10, 12), "slow": (18, 20)})
+    """Every combination of two periods with its results over all bars; averages are computed once for each period."""
+    cells = research.evaluate_grid(m.spark, {"fast": (8, 10, 12), "slow": (18, 20)})
+    rows = kernels.with_recursions(m.kept.select("symbol", "session_date", "close"), GRID_PERIODS)
+    of = lambda c: F.element_at(F.create_map(*[x for k, n in GRID_PERIODS.items() for x in (F.lit(n), F.col(k))]), F.col(c).cast("int"))
+    both = rows.crossJoin(F.broadcast(cells)).select("fast", "slow", of("fast").alias("x"), of("slow").alias("y")).dropna()  # six cells
+    return both.groupBy("fast", "slow").agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.col("x") > F.col("y")).alias("above"), F.avg((F.col("x") / F.col("y") - 1) * 100).alias("gap_pct"))
 
 
 SCENARIOS = {"default": {}, "fixed_20": {"exit_rule": "FIXED_HORIZON"}, "entry_a_close": {"entry_model_col": "EntryA_FreshAlignment", "execution_model": "next_close"}, "capped": {"max_concurrent_positions": 2, "max_position_pct_of_equity": 20.0, "risk_budget_basis": "CASH", "execution_model": "same_close"}}

@@ -33,15 +33,36 @@ def with_overrides(base: DataFrame, overrides: DataFrame, start: str | None = No
     return base.select("session_date").where(inside).join(off, "session_date", "left_anti").unionByName(on).distinct()
 
 
-def calendar_table(sessions: DataFrame) -> DataFrame:
-    """session_date with session_no, next_session, prev_session, week and expected_week_end.
+def _year(date: str) -> Column:
+    return F.coalesce(F.year(date), F.lit(0)).alias("_year")
+
+
+def across_years(rows: DataFrame, *summaries: Column, carry: dict[str, Column]) -> DataFrame:
+    """_year and what is carried into each year of rows: rows are summed up by year, `carry` are windows over these.
+
+    A table with a row for each year is all that one task orders; within years, years are tasks of their own."""
+    return rows.groupBy("_year").agg(*summaries).select("_year", *[c.alias(k) for k, c in carry.items()])
+
 
-    A calendar has a row for each day, so one ordered window over it is small whatever the universe holds."""
-    days = sessions.select("session_date").distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("session_date")
+#: Years before and after, for `carry`.
+def _earlier() -> Window:
+    return Window.partitionBy(F.lit(0)).orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _later() -> Window:
+    return Window.partitionBy(F.lit(0)).orderBy("_year").rowsBetween(1, Window.unboundedFollowing)
+
+
+def calendar_table(sessions: DataFrame) -> DataFrame:
+    """session_date with session_no, next_session, prev_session, week and expected_week_end. Numbers and neighbours are found within years, and carried from year to year."""
+    days = sessions.select("session_date").where("session_date IS NOT NULL").distinct().withColumn("_year", _year("session_date"))
     week = Window.partitionBy("week")
-    out = days.withColumn("week", week_of(F.col("session_date"))).withColumn("expected_week_end", F.max("session_date").over(week))
-    return out.withColumns({"session_no": F.row_number().over(order), "next_session": F.lead("session_date").over(order), "prev_session": F.lag("session_date").over(order)})
+    inside = Window.partitionBy("_year").orderBy("session_date")
+    day = F.col("session_date")
+    years = across_years(days, F.count(F.lit(1)).alias("n"), F.min(day).alias("a"), F.max(day).alias("b"), carry={"_before": F.coalesce(F.sum("n").over(_earlier()), F.lit(0)), "_last": F.max("b").over(_earlier()), "_first": F.min("a").over(_later())})
+    out = days.withColumns({"_no": F.row_number().over(inside), "_next": F.lead(day).over(inside), "_prev": F.lag(day).over(inside)}).join(years, "_year")
+    out = out.select("session_date", week_of(day).alias("week"), (F.col("_before") + F.col("_no")).cast("int").alias("session_no"), F.coalesce("_next", "_first").alias("next_session"), F.coalesce("_prev", "_last").alias("prev_session"))
+    return out.select("session_date", "week", F.max("session_date").over(week).alias("expected_week_end"), "session_no", "next_session", "prev_session")
 
 
 def expected_week_ends(sessions: DataFrame) -> DataFrame:
@@ -50,16 +71,25 @@ def expected_week_ends(sessions: DataFrame) -> DataFrame:
 
 
 def neighbours(dates: DataFrame, sessions: DataFrame, within: int = 30) -> DataFrame:
-    """For any date: the sessions strictly before and after, null beyond `within` days."""
-    marks = sessions.select("session_date", F.col("session_date").alias("s")).unionByName(dates.select(F.col("date").alias("session_date"), F.lit(None).cast("date").alias("s")))
-    order = Window.partitionBy(F.lit(0)).orderBy("session_date")
-    before, after = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    day = F.datediff(F.col("session_date"), F.lit("1970-01-01"))
-    order = Window.partitionBy(F.lit(0)).orderBy(day)
-    before, after = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(1, Window.unboundedFollowing)
-    seen = marks.select("session_date", "s", F.max("s").over(before).alias("p"), F.min("s").over(after).alias("n")).where("s IS NULL")
-    near = lambda c: F.when(F.abs(F.datediff(c, F.col("session_date"))) <= within, c)
-    return seen.select(F.col("session_date").alias("date"), near(F.col("p")).alias("prev_session"), near(F.col("n")).alias("next_session")).distinct()
+    """For each distinct date asked for (date): the sessions strictly before and after, null beyond `within` days. A null date has none.
+
+    Found within the date's year, else carried from the years around it."""
+    s = sessions.select(F.col("session_date").alias("at"), F.col("session_date").alias("s")).where("s IS NOT NULL").distinct()
+    marks = s.unionByName(dates.select(F.col("date").alias("at"), F.lit(None).cast("date").alias("s")).distinct()).withColumns({"_year": _year("at"), "_day": F.unix_date("at")})
+    inside = Window.partitionBy("_year").orderBy("_day")
+    before, after = inside.rangeBetween(Window.unboundedPreceding, -1), inside.rangeBetween(1, Window.unboundedFollowing)
+    years = across_years(marks, F.min("s").alias("a"), F.max("s").alias("b"), carry={"_last": F.max("b").over(_earlier()), "_first": F.min("a").over(_later())})
+    seen = marks.select("at", "s", "_year", F.max("s").over(before).alias("p"), F.min("s").over(after).alias("n")).where("s IS NULL").join(years, "_year")
+    near = lambda c: F.when(F.abs(F.datediff(c, F.col("at"))) <= within, c)
+    return seen.select(F.col("at").alias("date"), near(F.coalesce("p", "_last")).alias("prev_session"), near(F.coalesce("n", "_first")).alias("next_session"))
+
+
+def filled(days: DataFrame, value: str) -> DataFrame:
+    """days (session_date, distinct) with `value` as of each day: its own or the last one before that isn't null."""
+    rows = days.withColumn("_year", _year("session_date"))
+    inside = Window.partitionBy("_year").orderBy("session_date").rowsBetween(Window.unboundedPreceding, 0)
+    years = across_years(rows, F.max_by(value, F.when(F.col(value).isNotNull(), F.col("session_date"))).alias("v"), carry={"_carried": F.last("v", ignorenulls=True).over(_earlier())})
+    return rows.withColumn(value, F.last(value, ignorenulls=True).over(inside)).join(years, "_year").withColumn(value, F.coalesce(value, "_carried")).drop("_year", "_carried")
 
 
 def sessions_between(pairs: DataFrame, calendar: DataFrame) -> DataFrame:
