@@ -1,13 +1,20 @@
 """Broken and very long pages, and the pipeline on clashing columns, nulls, repeated rows and empty tables."""
 
+import base64
+import gzip
+import hashlib
+import struct
 import time
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import dedup, html, packing
+from tidemark.llm import dedup, html, packing, pieces, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,3 +92,64 @@ def test_pack_with_odd_columns(spark):
     rows = corpus_pipeline.stored(rows)
     got = packing.pack(rows, 8, ranked=20).collect()
     assert len(got) == 300 and {r._b for r in got} == set(range(300)) and len({(r.sequence_id, r.offset) for r in got}) == 300
+
+
+def record(kind, ident, block, **fields):
+    head = {"WARC-Type": kind, "WARC-Record-ID": ident, **{k.replace("_", "-"): v for k, v in fields.items()}, "Content-Length": len(block)}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archive(spark, tmp_path):
+    """Records of another writer: all types, ids of other forms, digests of other kinds or none, several records in a member."""
+    page, http = b"<p>body</p>" * 50, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha1 = hashlib.sha1(page)
+    of = lambda k: f"<urn:uuid:0000-{k}>"
+    records = [
+        record("warcinfo", of(0), b"software: other\r\n", Content_Type="application/warc-fields"), record("request", of(1), b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        record("response", of(2), http + page, Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:" + base64.b32encode(sha1.digest()).decode(), WARC_Target_URI="http://a/"),
+        record("response", of(3), http + page, Content_Type="application/http", WARC_Payload_Digest="SHA1:" + sha1.hexdigest().upper()), record("response", of(4), http + page, Content_Type="application/http", WARC_Payload_Digest="sha256:" + "0" * 64),
+        record("response", of(5), http + page, Content_Type="application/http", WARC_Payload_Digest="sha1:" + "A" * 32), record("revisit", of(6), b"", WARC_Refers_To=of(2)), record("resource", None, page, Content_Type="text/html"), record("metadata", "<urn:page:x>", b"", Content_Type="text/plain"),
+    ]
+    members = [gzip.compress(r) for r in records[:5]] + [gzip.compress(records[5] + records[6]), gzip.compress(records[7], 0), gzip.compress(records[8])]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(members))
+    for split in (16 << 20, 61):
+        rows = warc.read_warc(spark, f"file://{tmp_path}", split_bytes=split).collect()
+        got = {r.record_id: r for r in rows}
+        assert len(rows) == len(records) and Counter(r.record_type for r in rows) == Counter(["warcinfo", "request", "resource", "metadata", "revisit"] + ["response"] * 4)
+        assert all(r.page_id is None and r.refers_to is None for r in rows)
+        assert got[of(0)].payload == b"software: other\r\n" and got[of(0)].payload_digest is None and got[of(0)].digest_ok is None
+        assert got[of(2)].payload == got[of(3)].payload == page and got[of(2)].payload_digest == got[of(3)].payload_digest == sha1.hexdigest() and got[of(2)].digest_ok and got[of(3)].digest_ok
+        assert got[of(4)].payload_digest is None and got[of(5)].digest_ok is False and got[of(2)].url == "http://a/"
+        assert got[of(6)].refers_to_id == of(2) and got[of(6)].payload is None and got[of(6)].payload_bytes is None and got[None].payload == page
+
+
+def with_map(tmp_path):
+    """The public model with a character map of its own: `a` becomes `b`, `ab` becomes `x`."""
+    units = np.zeros(1024, "<u4")
+    units[0] = 256 << 10
+    a = 256 ^ ord("a")
+    units[a] = ord("a") | 1 << 8 | (a ^ 512) << 10
+    units[512] = 0 | 0x80000000
+    b = 512 ^ ord("b")
+    units[b] = ord("b") | 1 << 8 | (b ^ 768) << 10
+    units[768] = 2 | 0x80000000
+    blob = struct.pack("<I", units.nbytes) + units.tobytes() + b"b\0x\0"
+    size = lambda n: bytes([n & 127 | 128, n >> 7 & 127 | 128, n >> 14])
+    spec = b"\x12" + size(len(blob)) + blob
+    with open(public_tokenizers.path(pieces.DEFAULT_MODEL), "rb") as f:
+        (tmp_path / "m.model").write_bytes(f.read() + b"\x1a" + size(len(spec)) + spec)
+    return str(tmp_path / "m.model")
+
+
+def test_pieces_of_a_mapped_text(spark, tmp_path):
+    """Ids are the library's own for a model that maps characters, and spans lead back to the text as it was."""
+    path = with_map(tmp_path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["abab cab", "a", "ab", "banana split", "  a  ab ", "é ab 中 aab", "a\tb", "aaaa " * 500, "", None]
+    assert sp.normalize("abab cab banana") == "▁xx▁cx▁bbnbnb"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r, t in zip(pieces.encode(df, path).collect(), texts):
+        raw = (t or "").encode()
+        assert r.ids == sp.encode(t or "", add_bos=True, add_eos=True) and r.decoded == sp.decode(r.ids)
+        back = b"".join(raw[b:e] for b, e in zip(r.begins, r.ends))
+        assert back.replace(b" ", b"") == raw.replace(b" ", b"") or "aa" in t or "\t" in t or "é" in t

@@ -1,8 +1,8 @@
 """SentencePiece encoding with offsets, and decoding.
 
 The normaliser walks the model's compiled character map (a double array over UTF-8 with the replacements behind it) by
-longest prefix and records for each byte of the normalised text the span of source bytes it comes from. The library
-merges the pieces; each piece covers as many bytes of the normalised text as its string, so a running sum of piece
+longest prefix and records for each byte of the normalised text the span of source bytes it comes from. The library is
+given the model without its normaliser and merges pieces of exactly that normalised text; each piece covers as many bytes of the normalised text as its string, so a running sum of piece
 lengths projects every piece to a span of bytes of the original text. A row whose pieces don't tile the normalised
 text is an error, never a guess.
 
@@ -28,6 +28,8 @@ from .common import list_array, table, text_chunks
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁".encode()
+#: Overrides a model's normalizer_spec: the name `identity`, no character map, and no change of spaces.
+IDENTITY = b"\x0a\x08identity" + b"\x12\x00" + b"\x18\x00" + b"\x20\x00" + b"\x28\x00"
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -60,7 +62,7 @@ class Normaliser:
     """What a model's normalizer_spec asks for, with the source span of every byte."""
 
     def __init__(self, model: bytes):
-        spec = dict(_fields(next((v for k, v in _fields(model) if k == 3), b"")))
+        spec = {k: v for number, part in _fields(model) if number == 3 for k, v in _fields(part)}  # later ones replace earlier ones
         self.dummy_prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
         blob = spec.get(2, b"")
         self.units, self.replacements = None, b""
@@ -133,17 +135,24 @@ class Normaliser:
 
 class Codec:
     def __init__(self, path: str):
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
-            self.normaliser = Normaliser(f.read())
+            raw = f.read()
+        self.normaliser = Normaliser(raw)
+        # fields of a message that come again replace the earlier ones
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=raw + bytes([26, len(IDENTITY)]) + IDENTITY)
+        self.decoder = sentencepiece.SentencePieceProcessor(model_proto=raw)
         sp, n = self.sp, self.sp.get_piece_size()
         self.control = np.array([sp.is_control(i) for i in range(n)])
         self.size = np.array([0 if sp.is_control(i) else 1 if sp.is_byte(i) else len(sp.id_to_piece(i).encode()) for i in range(n)])
         self.unknown = sp.unk_id()
 
-    def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end, in bytes of text, of each piece."""
-        _, begin, end = self.normaliser(text)
+    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and begin and end, in bytes of text, of each piece."""
+        normal, begin, end = self.normaliser(text)
+        ids = np.array(self.sp.encode(normal.tobytes().decode(), add_bos=True, add_eos=True), np.int32)
+        return ids, *self.spans(text, ids, begin, end)
+
+    def spans(self, text: bytes, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         stop = np.cumsum(self.size[ids])
         if (ids == self.unknown).any() or (int(stop[-1]) if len(stop) else 0) != len(begin):
             raise ValueError("the pieces don't tile the normalised text")
@@ -153,9 +162,6 @@ class Codec:
         right = np.append(end, len(text))[np.maximum(stop - 1, 0)] if len(end) else np.zeros(len(ids), np.int64)
         return left, np.where(covered, right, left)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int32) for x in self.sp.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
-
 
 @cache
 def codec(path: str) -> Codec:
@@ -178,11 +184,9 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
             column = batch.column(1)
             for lo, hi, data, offs in text_chunks(column):
                 raw = data.tobytes()
-                parts = [raw[offs[i] : offs[i + 1]] for i in range(hi - lo)]
-                texts = [p.decode() for p in parts]
-                ids = c.encode(texts)
-                spans = [c.spans(p, x) for p, x in zip(parts, ids)]
-                decoded = [c.sp.decode(x.tolist()) for x in ids]
+                found = [c.encode(raw[offs[i] : offs[i + 1]]) for i in range(hi - lo)]
+                ids, spans = [x[0] for x in found], [x[1:] for x in found]
+                decoded = [c.decoder.decode(x.tolist()) for x in ids]
                 n = np.array([len(x) for x in ids])
                 if digests:
                     crc = [zlib.crc32(e.astype("<i4").tobytes(), zlib.crc32(b.astype("<i4").tobytes())) for b, e in spans]

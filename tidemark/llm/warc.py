@@ -5,6 +5,12 @@ header (and that of the member behind it), and owns the records whose first byte
 writes one file under a temporary name that holds its attempt; the driver moves the files of committed tasks only, so
 a lost executor leaves no half archive in the result. Paths may be anything that pyarrow's file systems open.
 
+Archives of other writers: ids are kept as they are (record_id, refers_to_id), page_id and refers_to are those of our own
+alone; records of every type are given; a digest that is missing or of another kind is null, and digest_ok says of the
+others whether the payload has it; a member may hold several records. The payload is what stands behind the HTTP header,
+or the whole block where there is none; a revisit has none. A payload that is kept uncompressed and is an archive itself,
+of two members in a row at least, can't be told from records by a task that starts inside it.
+
 Null payload counts as empty, a null url is left out, a null page_id is kept as the id "null". Rows that repeat a
 page_id are separate records. Of equal payloads, every row with the largest page_id is a response. An empty table
 gives an archive without records.
@@ -30,7 +36,7 @@ from .common import shared_dir, stored, table
 MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT = 1000
 URN = "urn:page:"
-READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, offset long"
+READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, offset long, record_id string, refers_to_id string, content_type string, digest_ok boolean"
 
 
 def _record(page_id, url, payload: bytes, length: int, digest: str, refers_to) -> bytes:
@@ -148,20 +154,45 @@ def _first(src: _Source, start: int, end: int) -> int | None:
     return None
 
 
-def _parse(content: bytes, file: str, offset: int) -> tuple:
-    head, _, rest = content.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    ident = lambda s: None if s is None or s == f"<{URN}null>" else int(s[len(URN) + 1 : -1])
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    if fields["warc-type"] == "response":
-        length = len(payload)
-        if hashlib.sha1(payload).hexdigest() != digest:
-            raise ValueError(f"{file} at {offset}: the payload doesn't have its digest")
-    else:
-        length, payload = int(re.search(rb"(?i)content-length:\s*(\d+)", http)[1]), None
-    return ident(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], ident(fields.get("warc-refers-to")), length, digest, payload, file, offset
+def _sha1(told: str | None) -> str | None:
+    """The lower-case hex digits of a SHA-1 digest as headers have them: base 32, or hex."""
+    kind, _, value = (told or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
+def _own(ident: str | None) -> int | None:
+    """The page of an id that write_warc made."""
+    m = re.fullmatch(f"<{URN}(-?\\d+)>", ident or "")
+    return int(m[1]) if m else None
+
+
+def _records(content: bytes, file: str, offset: int) -> Iterator[tuple]:
+    """The records of one member, all with the member's offset."""
+    at = 0
+    while content.startswith(b"WARC/", at):
+        stop = content.find(b"\r\n\r\n", at)
+        if stop < 0:
+            raise ValueError(f"{file} at {offset}: a record's header doesn't end")
+        lines = content[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        length = fields.get("content-length", "")
+        block = content[stop + 4 : stop + 4 + int(length)] if length.isdecimal() else content[stop + 4 :].removesuffix(b"\r\n\r\n")
+        at = stop + 4 + len(block) + 4
+        kind, digest, ok = fields.get("warc-type", ""), _sha1(fields.get("warc-payload-digest")), None
+        http = fields.get("content-type", "").lower().startswith("application/http")
+        head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        size: int | None = len(payload)
+        if kind == "revisit":
+            told = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+            size, payload = int(told[1]) if told else None, None
+        elif digest is not None:
+            ok = hashlib.sha1(payload).hexdigest() == digest
+        ids = fields.get("warc-record-id"), fields.get("warc-refers-to")
+        yield _own(ids[0]), fields.get("warc-target-uri"), kind, _own(ids[1]), size, digest, payload, file, offset, *ids, fields.get("content-type"), ok
 
 
 class _Reader(DataSourceReader):
@@ -186,8 +217,8 @@ class _Reader(DataSourceReader):
                 m = _member(src, pos)
                 if m is None:
                     raise ValueError(f"{part.file}: the member at {pos} isn't whole")
-                row = _parse(m[0], part.file, pos)
-                yield row if self.with_payload else (*row[:6], None, *row[7:])
+                for row in _records(m[0], part.file, pos):
+                    yield row if self.with_payload else (*row[:6], None, *row[7:])
                 pos = m[1] if m[1] < src.size else None
 
 
