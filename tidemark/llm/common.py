@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,6 +80,14 @@ def appended(df: DataFrame, inputs: list[str], fields: list[T.StructField], comp
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives what a task has freed back to the machine: a worker lives on, and its executor's next stages need the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, list_array, mix, stored, table, text_chunks
+from .common import discard, join_groups, list_array, mix, release, stored, table, text_chunks
 from .words import shingle_sets
 
 #: The least similarity, as a fraction.
@@ -73,6 +73,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shape, fields: str, wante
             for lo, hi, data, offs in text_chunks(batch.column(1)):
                 cols = shape(batch.column(0)[lo:hi], shingle_sets(data, offs))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, fields)
 
@@ -165,6 +166,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     yield told()
         if held:
             yield told()
+        release()
 
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, "id long, n long, sig1 long, sig2 long, slice int, counts binary")
 

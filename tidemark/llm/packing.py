@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, text_chunks, unused
+from .common import release, stored, table, text_chunks, unused
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -106,6 +106,9 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
         self.kept = 0
 
+    def forget(self) -> None:
+        self.new, self.old, self.kept = {}, {}, 0
+
     def _of(self, distinct: list[bytes]) -> list[bytes]:
         if len(self.new) > MEMO_UNITS or self.kept > MEMO_BYTES:
             self.old, self.new, self.kept = self.new, {}, 0
@@ -166,6 +169,8 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
                         rows.append((i, p, at - a, len(x), zlib.crc32(x.data)))
                 t = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t[:, 0])), pa.array(t[:, 1].astype(np.int32)), pa.array(t[:, 2]), pa.array(t[:, 3]), pa.array(t[:, 4])], names=[id_col, "piece", "start", "length", "ids_crc32"])
+        enc.forget()
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
