@@ -22,9 +22,14 @@ def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def is_percent(column: str) -> bool:
+    """Whether a column is in percent, by its name."""
+    return column.lower().endswith(("_pct", "_pct_10d")) or "_pct_" in column.lower() or column.startswith(("RS_", "fwd_ret_", "Fwd_Ret_"))
+
+
 def percent_columns_as_fractions(df: DataFrame) -> DataFrame:
     """Columns in percent divided by 100, as a spreadsheet's percent format wants them."""
-    return df.withColumns({c: F.col(c) / 100 for c, t in df.dtypes if t == "double" and (c.lower().endswith(("_pct", "_pct_10d")) or "_pct_" in c.lower() or c.startswith(("RS_", "fwd_ret_", "Fwd_Ret_")))})
+    return df.withColumns({c: F.col(c) / 100 for c, t in df.dtypes if t == "double" and is_percent(c)})
 
 
 def content_hash(df: DataFrame) -> str:
