@@ -63,6 +63,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         distinct, most = repeats(h, doc, n)
         out[:, 11], out[:, 13] = distinct / some, most / some
         tri = np.flatnonzero(doc[2:] == doc[:-2]) if len(h) > 2 else np.zeros(0, int)
+        out[:, 14] = 1  # of a text without a phrase of three words, whatever stands in its chunk
         if len(tri):
             key, of = h[tri] * np.uint64(3) + h[tri + 1] * np.uint64(5) + h[tri + 2] * np.uint64(7), doc[tri]
             distinct, _ = repeats(key, of, n)
