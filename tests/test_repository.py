@@ -184,3 +184,19 @@ def test_outages(spark, calendar, tmp_path):
     assert row["DOWN"].status == "REFRESHED" and row["DOWN"].resolved_source == "backup" and row["DOWN"].range_complete and row["UP"].status == "HIT"
     gone = rep.Repository(BarCache(spark, f"file://{tmp_path}/d"), first, calendar).refresh(symbols, str(DAYS[0]), str(DAYS[9]))
     assert {r.symbol: r.status for r in gone.diagnostics.collect()} == {"DOWN": "UNAVAILABLE", "ONCE": "FILLED", "UP": "FILLED"}
+
+
+def test_contract(spark):
+    from tidemark.operators import checks
+
+    good = "symbol string, session_date date, open double, high double, low double, close double, volume long"
+    row = ("A", DAYS[0], 1.0, 2.0, 0.5, 1.5, 10)
+    told = lambda df: {(r.symbol, r.issue, r.rows) for r in checks.contract(df).collect()}
+    assert told(spark.createDataFrame([row], good)) == set()
+    assert told(spark.createDataFrame([], good)) == {(None, "no rows", None)}
+    assert told(spark.createDataFrame([row, (None, *row[1:]), ("A", None, *row[2:])], good)) == {(None, "rows without symbol", 1), ("A", "rows without date", 1)}
+    at = lambda *t: [("A", dt.datetime(2024, 1, 2, *x), 1.0) for x in t]
+    rest = {(None, f"missing column {c}", None) for c in ("high", "low", "close", "volume")}
+    assert told(spark.createDataFrame(at((0,), (9, 15), (0, 0, 1)), "symbol string, session_date timestamp_ntz, open double")) == rest | {("A", "a time of day in the date", 2)}
+    assert told(spark.createDataFrame(at((0,)), "symbol string, session_date timestamp, open double")) == rest | {(None, "session_date is in a time zone", None)}
+    assert (None, "session_date is no date but string", None) in told(spark.createDataFrame([("A", "2024-01-02", "x")], "symbol string, session_date string, open string"))

@@ -45,6 +45,31 @@ def quality_report(bars: DataFrame, calendar: DataFrame, analysis_date: str, max
     return report.withColumn("eligible", (F.col("status") != "FAIL") & F.col("has_analysis_date")).drop("_last_no", "_first_no", "_held", "_today")
 
 
+def contract(rows: DataFrame, date: str = "session_date") -> DataFrame:
+    """What rows that ought to be bars break of their form: symbol, issue, rows (of that symbol; null for the whole table).
+
+    Columns that are missing or not numbers, a date column that is none or a point in time of some zone, a time of day in
+    it, rows without symbol or date, and a table without rows. Nothing is repaired. Empty if all is well."""
+    kinds = dict(rows.dtypes)
+    number = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    whole = [f"missing column {c}" for c in ("symbol", date, *PRICES, "volume") if c not in kinds]
+    whole += [f"{c} is no number but {kinds[c]}" for c in (*PRICES, "volume") if c in kinds and not (kinds[c] in number or kinds[c].startswith("decimal"))]
+    kind = kinds.get(date, "date")
+    whole += [f"{date} is in a time zone"] if kind == "timestamp" else [f"{date} is no date but {kind}"] if kind not in ("date", "timestamp_ntz") else []
+    out = rows.sparkSession.createDataFrame([(None, issue, None) for issue in whole], "symbol string, issue string, rows long")
+    symbol = F.col("symbol").cast("string") if "symbol" in kinds else F.lit(None).cast("string")
+    tests = {"rows without symbol": symbol.isNull()} if "symbol" in kinds else {}
+    if date in kinds:
+        tests["rows without date"] = F.col(date).isNull()
+        if kind.startswith("timestamp"):
+            tests["a time of day in the date"] = F.col(date) != F.date_trunc("day", date).cast(kind)
+    if tests:
+        counts = rows.groupBy(symbol.alias("symbol")).agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()])
+        out = out.unionByName(counts.unpivot("symbol", list(tests), "issue", "rows").where("rows > 0"))
+    none = rows.agg(F.count(F.lit(1)).alias("rows")).where("rows = 0").select(F.lit(None).cast("string").alias("symbol"), F.lit("no rows").alias("issue"), F.lit(None).cast("long").alias("rows"))
+    return out.unionByName(none)
+
+
 def tally(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count(F.lit(1)).alias("symbols"))
 

@@ -551,6 +551,13 @@ def quality_tally(m):
     return checks.tally(checks.quality_report(m.bars, m.calendar, ANALYSIS))
 
 
+@query("""PLAIN SELECT event_type AS symbol, 'a time of day in the date' AS issue, count(*) AS rows FROM events WHERE ts <> date_trunc('day', ts) GROUP BY 1 UNION ALL SELECT NULL, x, NULL FROM (VALUES ('missing column high'), ('missing column low'), ('close is no number but string')) AS t(x)""")
+def bar_contract(m):
+    """The form of bars, asked of events, which aren't any."""
+    rows = m.spark.read.parquet(f"{m.dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("session_date"), F.col("value").alias("open"), F.col("props").alias("close"), F.col("user_id").alias("volume"))
+    return checks.contract(rows)
+
+
 @query("""SELECT r.symbol, coalesce(n, 0) AS rows, CASE WHEN n > 0 THEN 'ELIGIBLE' ELSE 'EXCLUDED' END AS status, x - coalesce(n, 0) AS missing, round(coalesce(n, 0) * 100.0 / x, 6) AS coverage_pct FROM (SELECT DISTINCT symbol FROM bars UNION ALL SELECT 'NOSUCH') AS r LEFT JOIN (SELECT symbol, count(*) AS n FROM bars WHERE session_date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' GROUP BY 1) USING (symbol),
 (SELECT count(*) AS x FROM cal WHERE session_date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31')""")
 def data_audit(m):
