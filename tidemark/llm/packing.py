@@ -35,7 +35,7 @@ END = 0
 #: A worker keeps the ids of the units it met last: between so many and twice as many units, or bytes of them.
 MEMO_UNITS, MEMO_BYTES = 150_000, 16 << 20
 #: Text bytes in one step of a task.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Rows of one length that a task ranks, about.
 RANKED = 2_000
 
