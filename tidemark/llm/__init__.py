@@ -1 +1 @@
-"""Operators for large training-data pipelines; outside it, only `functions.stats` imports one helper of `common`."""
+"""Operators for large training-data pipelines; nothing outside imports them but the driver entry and the corpus pipeline."""

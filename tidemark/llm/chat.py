@@ -14,7 +14,7 @@ string) that hold assistant texts.
 
 Null text, role and kind count as empty (a null kind does nothing). Events that repeat all fields count once. Rows that
 repeat conversation and turn are turns of their own, in order of role, then text. A null conversation or turn is a key
-like any other, nulls first. An empty table gives an empty result.
+like any other, nulls first. An empty table gives an empty result. Other columns are passed over.
 """
 
 from __future__ import annotations

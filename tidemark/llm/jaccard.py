@@ -23,7 +23,7 @@ pairs below bounds derived from set sizes.
 Two documents link when 100 * |a & b| >= 80 * |a | b|. Words are runs of `[^\\x20\\x09-\\x0D]` with A-Z as a-z; fewer
 than five words are one shingle. Null and empty texts have empty sets and link with nothing; a null id is left out of
 links and stands for itself. Rows that repeat an id are one document, with the set of one of them. Shingles are 64-bit
-hashes; ids are whole numbers. An empty table gives an empty result. Tables between steps are deleted once they are read.
+hashes; ids are whole numbers. An empty table gives an empty result; other columns are passed over. Tables between steps are deleted once they are read.
 """
 
 from __future__ import annotations

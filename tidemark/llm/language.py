@@ -7,7 +7,8 @@ ones the language that sorts first.
 
 Null text and text without a letter give `und` and score 0. Training rows with null lang or text count for nothing; if
 there is none, every document is `und`. Repeated rows count as often as they occur. Texts are read whole; a task holds
-one chunk of a quarter of a megabyte, or one longer text.
+one chunk of a quarter of a megabyte, or one longer text. An empty table gives an empty result; other columns stay, those
+named like an output give way to it.
 """
 
 from __future__ import annotations

@@ -3,13 +3,15 @@
 Pieces of equal length are interchangeable, so the instance is the histogram of lengths: at most `capacity` counts,
 whatever the corpus holds. The plan is made on these counts (the only thing that reaches the driver): first the
 reduction fixes sets of one to three lengths that dominate every other way to fill a sequence with the largest length
-left; it stops at a largest length with no such set, and best-fit decreasing packs the remainder. The plan is a list of
-patterns (lengths in one sequence) with multiplicities, at most a few thousand; tasks rank the pieces of each length,
-salted over buckets, and look their place up in it. A piece as long as a sequence needs no plan.
+left; a length with no such set is left to best-fit decreasing, and the reduction goes on with the next one. The plan is
+a list of patterns (lengths in one sequence) with multiplicities, at most a few thousand; tasks rank the pieces of each
+length, salted over buckets, and look their place up in it. A piece as long as a sequence needs no plan.
 
 Null text counts as empty: a document of the end id alone. Texts are tokenised whole; what the pre-tokeniser parts is
-encoded apart (see units()), which is exact because merges never cross it, and a bounded memo keeps frequent units. Rows that repeat an id are separate documents only as far as (id, piece) tells them apart: each row gets
-a place of its own all the same. A null id is packed like any other. An empty table gives an empty result.
+encoded apart (see units()), which is exact because merges never cross it, and a bounded memo keeps frequent units. Rows
+that repeat an id are separate documents only as far as (id, piece) tells them apart: each row gets a place of its own
+all the same. A null id is packed like any other. An empty table gives an empty result. Of documents, columns other than
+id and text are passed over; of pieces, they stay.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ lengths projects every piece to a span of bytes of the original text. A row whos
 text is an error, never a guess.
 
 Null text counts as empty: begin and end id alone, spans (0, 0). A very long text is one row of work: a task holds one
-chunk of a quarter of a megabyte, or one longer text. Repeated rows are encoded alike. An empty table gives an empty result.
+chunk of a quarter of a megabyte, or one longer text. Repeated rows are encoded alike. An empty table gives an empty result. Other
+columns are passed over.
 """
 
 from __future__ import annotations

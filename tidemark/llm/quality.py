@@ -8,7 +8,9 @@ grid once each way. A score is the sigmoid of the sum of table entries: two inte
 Features come from text alone, whole. The model is fitted on the driver from at most `max_train` labelled rows (those
 with the least hash of id), as numbers only; all else runs in tasks. Null and empty text have the same features, all
 zero, and a score. Labelled rows without a document, and null labels, count for nothing; with no label or one class the
-score is the (smoothed) share of label 1. Rows with equal text score alike.
+score is the (smoothed) share of label 1. Rows with equal text score alike. An
+empty table gives an empty result; a very long text is one row of work. Other columns stay, those named like an output
+give way to it.
 """
 
 from __future__ import annotations

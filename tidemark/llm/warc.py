@@ -13,7 +13,7 @@ of two members in a row at least, can't be told from records by a task that star
 
 Null payload counts as empty, a null url is left out, a null page_id is kept as the id "null". Rows that repeat a
 page_id are separate records. Of equal payloads, every row with the largest page_id is a response. An empty table
-gives an archive without records.
+gives an archive without records. A very long page is one record, held whole by its task. Other columns are passed over.
 """
 
 from __future__ import annotations
