@@ -114,6 +114,24 @@ STEPS = [
 ]
 
 
+def steps(periods: dict[str, int]) -> list[str]:
+    """STEPS with other periods behind the names of the daily and weekly averages."""
+    swap = lambda of: [recursive_ema("e", "b", of.values()), picked("d0", "b", "e", of), recursive_ema("we", "weekly", of.values()), picked("w", "weekly", "we", {f"{k}_W": p for k, p in of.items()})]
+    other = dict(zip(swap(PERIODS), swap(periods)))
+    return [other.get(x, x) for x in STEPS]
+
+
+def cells_sql(cells: list[tuple], horizon: int = 20) -> str:
+    """n_trades and avg_return_pct of cells (cell, perturbed_param, and four periods), each from its own features and events."""
+    one = []
+    for cell, parameter, *periods in cells:
+        names = dict(zip(PERIODS, periods))
+        inner = "WITH RECURSIVE " + ",\n".join([*steps(names), *events_sql("OPEN")]) + f" SELECT count(fwd_ret_{horizon}d) AS n, avg(fwd_ret_{horizon}d) AS r FROM ev"
+        told = ", ".join(f"CAST({n} AS BIGINT) AS {k}" for k, n in zip(("fast", "medium", "structural", "long"), periods))
+        one.append(f"SELECT '{cell}' AS cell, '{parameter}' AS perturbed_param, {told}, n AS n_trades, round(r, 6) AS avg_return_pct FROM ({inner})")
+    return " UNION ALL ".join(one)
+
+
 def forward(stage: str, horizons=(1, 3, 5, 10, 20, 40), source: str = "f", part: str = "symbol") -> str:
     """fw: source with what follows an entry on each row."""
     s = 0 if stage == "OPEN" else 1

@@ -26,12 +26,15 @@ def evaluate_grid(spark, grid: dict[str, tuple]) -> DataFrame:
     return spark.createDataFrame([tuple(c) for c in product(*grid.values())], names)
 
 
-def one_at_a_time(spark, cfg: Config = Config(), grid: dict[str, tuple] | None = None) -> DataFrame:
+def cells(cfg: Config = Config(), grid: dict[str, tuple] | None = None) -> list[tuple]:
     """Cells that change one period of the base each; the base appears once for each parameter."""
     e = cfg.ema
     base = {"fast": e.fast, "medium": e.medium, "structural": e.structural, "long": e.long}
-    rows = [(f"{p}={v}", p, *(base | {p: v}).values()) for p, values in (grid or GRID).items() for v in values]
-    return spark.createDataFrame(rows, CELL)
+    return [(f"{p}={v}", p, *(base | {p: v}).values()) for p, values in (grid or GRID).items() for v in values]
+
+
+def one_at_a_time(spark, cfg: Config = Config(), grid: dict[str, tuple] | None = None) -> DataFrame:
+    return spark.createDataFrame(cells(cfg, grid), CELL)
 
 
 def cell_features(bars: DataFrame, index_bars: DataFrame, calendar: DataFrame, cells: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -51,11 +54,11 @@ def cell_features(bars: DataFrame, index_bars: DataFrame, calendar: DataFrame, c
 
 def ema_sensitivity(bars: DataFrame, index_bars: DataFrame, calendar: DataFrame, cfg: Config = Config(), grid: dict | None = None, horizon: int = 20) -> DataFrame:
     """n_trades and avg_return_pct of each cell; one without trades has none."""
-    cells = one_at_a_time(bars.sparkSession, cfg, grid)
-    events = event_study(cell_features(bars, index_bars, calendar, cells, cfg), calendar, cfg, keys=("cell", "symbol"))
+    table = one_at_a_time(bars.sparkSession, cfg, grid)
+    events = event_study(cell_features(bars, index_bars, calendar, table, cfg), calendar, cfg, keys=("cell", "symbol"))
     r = F.col(f"fwd_ret_{horizon}d")
     got = events.groupBy("cell").agg(F.count(r).alias("n_trades"), F.avg(r).alias("avg_return_pct"))
-    return cells.join(got, "cell", "left").withColumn("n_trades", F.coalesce("n_trades", F.lit(0)))
+    return table.join(got, "cell", "left").withColumn("n_trades", F.coalesce("n_trades", F.lit(0)))
 
 
 def plateau(table: DataFrame, metric: str = "avg_return_pct", label: str = "cell") -> DataFrame:

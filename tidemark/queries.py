@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import costs, stats
-from .oracle import events_sql, picked, recursive_ema, sql, stats_sql
+from .oracle import cells_sql, events_sql, picked, recursive_ema, sql, stats_sql
 from .operators import checks, indicators as ind, joins, kernels, prices
 from .plans import backtest as bt
 from .plans import events as evs
@@ -610,7 +610,7 @@ def walk_forward_mode2(m):
     return research.walk_forward_selected(m.kept, m.kept_index, m.sessions, _folds(m), [(10, 20, 89, n) for n in (180, 200, 220)], CFG)
 
 
-@query()
+@query("PLAIN " + cells_sql(research.cells(CFG)))
 def ema_sensitivity(m):
     return research.ema_sensitivity(m.kept, m.kept_index, m.sessions, CFG)
 
