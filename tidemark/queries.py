@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import costs, stats
-from .oracle import cells_sql, events_sql, picked, recursive_ema, sql, stats_sql
+from .oracle import cells_sql, events_sql, picked, recursive_ema, sql, stats_sql, steps
 from .operators import checks, indicators as ind, joins, kernels, prices
 from .plans import backtest as bt
 from .plans import events as evs
@@ -605,9 +605,16 @@ def walk_forward_mode1(m):
     return research.walk_forward_fixed(m.features, m.sessions, _folds(m), CFG).drop("mode", "test_start", "test_end")
 
 
-@query()
+COMBOS = [(10, 20, 89, n) for n in (180, 200, 220)]
+_EVERY = " UNION ALL ".join(f"SELECT {i} AS cell, * FROM (WITH RECURSIVE {', '.join(steps(dict(zip(EMAS, c))))} SELECT * FROM f)" for i, c in enumerate(COMBOS))
+_WITHIN = "WITH inside AS MATERIALIZED (SELECT * FROM every JOIN folds ON session_date >= {0}_start AND session_date < {0}_end), " + ", ".join(events_sql("OPEN", "inside", "fold, cell, symbol")).replace("{", "{{").replace("}", "}}") + " SELECT * FROM ev"
+_CHOSEN = ", ".join(f"CAST(CASE cell {' '.join(f'WHEN {i} THEN {c[k]}' for i, c in enumerate(COMBOS))} END AS BIGINT) AS selected_training_{n}" for k, n in enumerate(("fast", "medium", "structural", "long")))
+
+
+@query(f"SELECT CAST(fold AS BIGINT) AS fold, entry_model, {stats_sql('fwd_ret_20d')}, round(first(m), 6) AS training_window_selection_metric, {_CHOSEN}, first(test_start) AS test_start, first(test_end) AS test_end, 'TRAINED' AS mode, 'median fwd_ret_20d' AS selection_basis FROM ({_WITHIN.format('test')}) AS e JOIN best USING (fold, cell) JOIN folds USING (fold) GROUP BY fold, cell, entry_model HAVING count(fwd_ret_20d) > 5",
+       FOLDS, f"every AS MATERIALIZED ({_EVERY})", f"best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY m DESC, cell) AS k FROM (SELECT fold, cell, median(fwd_ret_20d) AS m FROM ({_WITHIN.format('train')}) GROUP BY 1, 2 HAVING count(fwd_ret_20d) > 30)) WHERE k = 1)")
 def walk_forward_mode2(m):
-    return research.walk_forward_selected(m.kept, m.kept_index, m.sessions, _folds(m), [(10, 20, 89, n) for n in (180, 200, 220)], CFG)
+    return research.walk_forward_selected(m.kept, m.kept_index, m.sessions, _folds(m), COMBOS, CFG)
 
 
 @query("PLAIN " + cells_sql(research.cells(CFG)))
