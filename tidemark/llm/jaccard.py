@@ -304,6 +304,7 @@ def short_and_long(incidence: DataFrame) -> DataFrame:
                 held = [t[last:]]
         if held and len(held[0]):
             yield from out(held[0])
+        release()
 
     return incidence.select("s", "id", "n").mapInArrow(run, "kind long, a long, b long, na long, nb long, c long")
 
@@ -323,6 +324,7 @@ def _matched(pairs: DataFrame, lists: DataFrame, column: str, keep) -> DataFrame
                 c[i] = (x[1:] == x[:-1]).sum()
             ok = pa.array(keep(c, na, nb))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+        release()
 
     return both.mapInArrow(run, "a long, b long")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_chunks
+from .common import release, table, text_chunks
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -93,6 +93,7 @@ def profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang", k
         for lang, parts in held.items():
             u, n = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(n)], names=["lang", "gram", "n"])
+        release()
 
     found = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, F.col(lang_col).cast("string")).mapInArrow(run, "lang string, gram long, n long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -133,6 +134,7 @@ def identify(df: DataFrame, learned: dict[str, list[int]], text_col: str = "text
                     langs.append(names[int(d.argmin())])
                     scores.append(1.0 - float(d.min()) / (k * len(g)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, score])
+        release()
 
     return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 

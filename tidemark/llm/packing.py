@@ -36,8 +36,8 @@ CAPACITY = 2048
 END = 0
 #: A worker keeps the ids of the units it met last: between so many and twice as many units, or bytes of them.
 MEMO_UNITS, MEMO_BYTES = 150_000, 16 << 20
-#: Text bytes in one step of a task.
-CHUNK = 1 << 20
+#: Text bytes in one step of a task; its arrays take some forty times as much.
+CHUNK = 1 << 19
 #: Rows of one length that a task ranks, about.
 RANKED = 2_000
 
@@ -171,6 +171,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
                         rows.append((i, p, at - a, len(x), zlib.crc32(x.data)))
                 t = np.array(rows, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t[:, 0])), pa.array(t[:, 1].astype(np.int32)), pa.array(t[:, 2]), pa.array(t[:, 3]), pa.array(t[:, 4])], names=[id_col, "piece", "start", "length", "ids_crc32"])
+                release()
         enc.forget()
         release()
 

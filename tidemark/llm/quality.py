@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_chunks
+from .common import release, table, text_chunks
 from .words import repeats, word_hashes
 
 BINS, GRID, ROUNDS, RATE, PAIRS, MAX_TRAIN, THRESHOLD = 48, 8, 150, 0.1, 8, 20_000, 0.7
@@ -226,6 +226,7 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", score: str = "
             for lo, hi, data, offs in text_chunks(batch.column(where)):
                 s = model.score(features(data, offs))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names, score, predicted])
+        release()
 
     return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
