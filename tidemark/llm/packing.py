@@ -36,8 +36,8 @@ CAPACITY = 2048
 END = 0
 #: A worker keeps the ids of the units it met last: between so many and twice as many units, or bytes of them.
 MEMO_UNITS, MEMO_BYTES = 150_000, 16 << 20
-#: Text bytes in one step of a task; its arrays take some forty times as much.
-CHUNK = 1 << 19
+#: Text bytes in one step of a task, whose arrays take some thirty times as much; smaller steps take more time.
+CHUNK = 4 << 20
 #: Rows of one length that a task ranks, about.
 RANKED = 2_000
 
@@ -153,7 +153,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end: int = END, chunk: int = CHUNK) -> DataFrame:
     """id_col, piece, start, length, ids_crc32 and ids of each piece of at most `capacity` tokens."""
 
     def run(batches):
@@ -162,7 +162,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
         environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         enc = encoder(tokenizer)
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(1), CHUNK):
+            for lo, hi, data, offs in text_chunks(batch.column(1), chunk):
                 rows: list[tuple] = []
                 ids, cuts = enc(data, offs, end)
                 for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()), lo):
@@ -331,8 +331,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Dat
     return placed.mapInArrow(run, schema).unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(stored(pieces(docs, tokenizer or public_tokenizers.path(DEFAULT_TOKENIZER), capacity)), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
+    return pack(stored(pieces(docs, tokenizer or public_tokenizers.path(DEFAULT_TOKENIZER), capacity, chunk=chunk)), capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
