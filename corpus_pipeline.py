@@ -21,6 +21,8 @@ from tidemark.llm.common import stored, table
 
 #: Documents whose best profile is farther than this, as one minus the share of the largest distance, are in no known language.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Text bytes that the last stage handles in one step: its workers share executors with what the other stages left in memory.
+PACKING_CHUNK = 1 << 19
 
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, list]:
@@ -54,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs.select("doc_id", "text"))
+    return packing.pack_documents(docs.select("doc_id", "text"), chunk=PACKING_CHUNK)
 
 
 STAGES = [("quality", keep_quality), ("language", keep_language), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("packing", pack)]
