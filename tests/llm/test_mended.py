@@ -14,7 +14,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import dedup, html, packing, pieces, warc
+from tidemark.llm import dedup, html, jaccard, packing, pieces, warc
+from tidemark.llm.common import stored, table
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -153,3 +154,23 @@ def test_pieces_of_a_mapped_text(spark, tmp_path):
         assert r.ids == sp.encode(t or "", add_bos=True, add_eos=True) and r.decoded == sp.decode(r.ids)
         back = b"".join(raw[b:e] for b, e in zip(r.begins, r.ends))
         assert back.replace(b" ", b"") == raw.replace(b" ", b"") or "aa" in t or "\t" in t or "é" in t
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """No step of the near stage is two Python functions in one task, and the packing sends no rows through Python workers beside those of the stages."""
+    docs, plans = table(spark, SF, "documents"), []
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    told, collect = stored(jaccard.summaries(docs, "doc_id", "text")), type(docs).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "collect", lambda self: (plans.append(plan(self)), collect(self))[1])
+        m.setattr(jaccard, "FREQUENT", 2)
+        m.setattr(jaccard, "TIMES", 0)
+        found = jaccard.frequent_cells(told)
+        m.setattr(jaccard, "ADDED", 1)  # in many groups, added up in steps
+        assert found.any() and (jaccard.frequent_cells(told) == found).all()
+    bits, each = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little"), found.shape[1] * 64
+    rows = told.where("slice IS NOT NULL").collect()
+    assert all((bits[k] == (sum(np.bincount(jaccard._unpacked(r["counts"]) & (each - 1), minlength=each) for r in rows if r["slice"] == k) > 2)).all() for k in range(3))
+    assert [p.count("InArrow") for p in plans if "InArrow" in p][0] == 1
+    packed = packing.pack(stored(docs.select("doc_id", (F.col("doc_id") % 8 + 1).alias("length"))), 8, ranked=3)
+    assert "ExistingRDD" not in plan(packed) and packed.count() == docs.count()

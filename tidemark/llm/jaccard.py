@@ -182,32 +182,32 @@ def frequent_cells(told: DataFrame) -> np.ndarray:
     most = max(FREQUENT, TIMES * total / cells)
     groups = max(1, total // SLICES // ADDED)
 
-    def start(key, t):
-        n = np.zeros(each, np.int64)
-        for x in t["counts"]:
-            n += np.bincount(_unpacked(x.as_py()) & (each - 1), minlength=each)
-        return out(key, n)
-
-    def add(key, t):
-        return out(key, sum(np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) for x in t["counts"]))
-
-    def out(key, n):
-        raw = zlib.compress(np.minimum(n, (1 << 32) - 1).astype("<u4").tobytes(), 1)
+    def start(last):
+        def run(key, t):
+            n = np.zeros(each, np.int64)
+            for x in t["counts"]:
+                n += np.bincount(_unpacked(x.as_py()) & (each - 1), minlength=each)
+            return out(key, n, last)
+
+        return run
+
+    def add(last):
+        return lambda key, t: out(key, sum(np.frombuffer(zlib.decompress(x.as_py()), "<u4").astype(np.int64) for x in t["counts"]), last)
+
+    def out(key, n, last):
+        """The counts, or of the last tables the bits: by the same function, as a further step would be one more Python worker for a task."""
+        n = np.minimum(n, (1 << 32) - 1).astype("<u4")
+        raw = np.packbits(n > most, bitorder="little").tobytes() if last else zlib.compress(n.tobytes(), 1)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([raw], pa.binary())})
 
-    def bits(batches):
-        for batch in batches:
-            raw = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), "<u4") > most, bitorder="little").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["slice", "bits"])
-
     kind = "slice int, g long, counts binary"
-    sums = parts.withColumn("g", F.pmod(F.xxhash64("counts"), F.lit(groups))).groupBy("slice", "g").applyInArrow(start, kind)
+    sums = parts.withColumn("g", F.pmod(F.xxhash64("counts"), F.lit(groups))).groupBy("slice", "g").applyInArrow(start(groups == 1), kind)
     while groups > 1:
         groups = -(-groups // 16)
-        sums = sums.withColumn("g", F.pmod("g", F.lit(groups))).groupBy("slice", "g").applyInArrow(add, kind)
+        sums = sums.withColumn("g", F.pmod("g", F.lit(groups))).groupBy("slice", "g").applyInArrow(add(groups == 1), kind)
     found = np.zeros((SLICES, each // 64), np.uint64)
-    for r in sums.select("slice", "counts").mapInArrow(bits, "slice int, bits binary").collect():  # SLICES rows
-        found[r["slice"]] = np.frombuffer(r["bits"], np.uint64)
+    for r in sums.select("slice", "counts").collect():  # SLICES rows
+        found[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
     return found
 
 

@@ -307,9 +307,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> Dat
     rows = rows.drop("sequence_id", "offset")
     names = rows.columns
     k, bucket, n, first, rank = unused(names, "k", "bucket", "n", "first", "rank")
-    seen = {r.length: r.n for r in rows.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    counts = stored(rows.where(F.col("length") < capacity).groupBy("length").agg(F.count(F.lit(1)).alias("n")))  # capacity rows at most
+    seen = {r.length: r.n for r in counts.collect()}
     runs = np.array(places(plan(seen, capacity)), np.int64).reshape(-1, 6)
-    buckets = rows.sparkSession.createDataFrame([(x, -(-m // ranked)) for x, m in seen.items()], f"length long, {k} long")
+    # rows made on the driver would have Python workers of their own, with a daemon, beside those of the stages
+    buckets = counts.select("length", F.ceil(F.col("n") / ranked).alias(k))
     # by all columns: rows without an id, or with one that repeats, differ in their tokens' checksums
     salted = rows.join(F.broadcast(buckets), "length").select(*names, F.pmod(F.xxhash64(*names), k).alias(bucket))
     before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
