@@ -71,3 +71,13 @@ def test_analysis_dates(spark, table):
     assert len(rows) == 2 * len(cases)
     for r in rows:
         assert (r.analysis_date, r.error, r.mode) == (*cases[r.k][2:], "AUTOMATIC" if r.manual is None else "MANUAL"), r
+
+
+def test_asks_are_not_multiplied_by_days(spark, table):
+    """Asks meet a row for a day, once, without a shuffle; one without a time has a row too."""
+    asks = spark.createDataFrame([(1, T(2026, 11, 3, 11), None), (2, None, None), (3, None, D(2026, 11, 3))], "k int, now timestamp, manual date")
+    got = ses.analysis_dates(asks, table)
+    assert {r.k: (r.analysis_date, r.mode, r.error) for r in got.collect()} == {1: (D(2026, 11, 3), "AUTOMATIC", None), 2: (None, "AUTOMATIC", "NONE"), 3: (None, "MANUAL", "NOT_ENDED")}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "manual" in x and ("Generate" in x or "Aggregate" in x)], plan
+    assert [r.analysis_date for r in ses.analysis_dates(asks.where("k = 1"), table, cutoff="23:00", back=0).collect()] == [None]

@@ -89,17 +89,19 @@ def analysis_dates(asks: DataFrame, sessions: DataFrame, cutoff: str = "16:00",
 
     AUTOMATIC: the latest session of the last `back` days that has ended: its date has passed, or it is today's, has a known
     close, and now is at or past both that and the cutoff. MANUAL: the date asked for, never moved; error says why it can't
-    be: FUTURE, NO_SESSION, UNVERIFIED_TIMING (today's, of unknown times) or NOT_ENDED. NONE: no session has ended. Each
-    ask meets its own days only, by date."""
+    be: FUTURE, NO_SESSION, UNVERIFIED_TIMING (today's, of unknown times) or NOT_ENDED. NONE: no session has ended, or now
+    is null. What is known of each day, the latest session before it included, is found from the sessions alone: a row for
+    a day, hence the broadcast. Asks meet it once, where they are, and are never shuffled."""
     names = asks.columns
-    trading = sessions.where("is_trading_day").select(F.col("session_date").alias("day"), "session_close")
-    local = F.from_utc_timestamp("now", zone)
-    rows = asks.withColumns({"_ask": F.monotonically_increasing_id(), "_today": local.cast("date"), "_clock": F.date_format(local, "HH:mm:ss")})
-    days = F.when(F.col("manual").isNull(), F.sequence(F.date_sub("_today", back), F.col("_today"))).otherwise(F.array("manual"))
-    met = rows.select("*", F.explode(days).alias("day")).join(trading.withColumn("_session", F.lit(True)), "day", "left")
     shut = F.date_format(F.from_utc_timestamp("session_close", zone), "HH:mm:ss")
-    ended = F.col("_session") & ((F.col("day") < F.col("_today")) | ((F.col("day") == F.col("_today")) & (F.col("_clock") >= F.greatest(shut, F.lit(f"{cutoff}:00"))) & shut.isNotNull()))
-    one = met.groupBy("_ask", "_today", *names).agg(F.max(F.when(ended, F.col("day"))).alias("analysis_date"), F.count("_session").alias("_sessions"), F.count("session_close").alias("_timed"))
-    manual = F.col("manual")
-    error = F.when(manual > F.col("_today"), "FUTURE").when(manual.isNotNull() & (F.col("_sessions") == 0), "NO_SESSION").when(F.col("analysis_date").isNotNull(), F.lit(None).cast("string")).when(manual.isNull(), "NONE").when(F.col("_timed") == 0, "UNVERIFIED_TIMING").otherwise("NOT_ENDED")
-    return one.select(*names, F.when(error.isNull(), F.col("analysis_date")).alias("analysis_date"), F.when(manual.isNull(), "AUTOMATIC").otherwise("MANUAL").alias("mode"), error.alias("error"))
+    trading = sessions.where("is_trading_day").select("session_date", shut.alias("_shut"), F.explode(F.sequence(F.lit(0), F.lit(back))).alias("_later"))
+    own = F.col("_later") == 0
+    days = trading.groupBy(F.date_add("session_date", F.col("_later")).alias("_day")).agg(F.max(own).alias("_session"), F.min(F.when(own, F.col("_shut"))).alias("_shut"), F.max(F.when(~own, F.col("session_date"))).alias("_past"))
+    local, manual = F.from_utc_timestamp("now", zone), F.col("manual")
+    rows = asks.withColumns({"_today": local.cast("date"), "_clock": F.date_format(local, "HH:mm:ss")}).withColumn("_day", F.coalesce("manual", "_today")).join(F.broadcast(days), "_day", "left")
+    day, today, shut = F.col("_day"), F.col("_today"), F.col("_shut")
+    session = F.coalesce("_session", F.lit(False))
+    ended = session & ((day < today) | ((day == today) & shut.isNotNull() & (F.col("_clock") >= F.greatest(shut, F.lit(f"{cutoff}:00")))))
+    found = F.when(ended, day).when(manual.isNull(), F.col("_past"))
+    error = F.when(manual > today, "FUTURE").when(manual.isNotNull() & ~session, "NO_SESSION").when(found.isNotNull(), F.lit(None).cast("string")).when(manual.isNull(), "NONE").when(shut.isNull(), "UNVERIFIED_TIMING").otherwise("NOT_ENDED")
+    return rows.select(*names, F.when(error.isNull(), found).alias("analysis_date"), F.when(manual.isNull(), "AUTOMATIC").otherwise("MANUAL").alias("mode"), error.alias("error"))
